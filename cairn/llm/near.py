@@ -15,10 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.words import jaccard, shingle_list, word_list
+from cairn.llm.words import token_rows
 from cairn.session import shuffle_width, stage
 
 BANDS, ROWS = 24, 8
@@ -56,34 +56,30 @@ def _values(hashes: np.ndarray, weights: np.ndarray, k: int, seed: int) -> tuple
     return lnc - r * (t - b) - r, t
 
 
-def sample(hashes: np.ndarray, weights: np.ndarray, offsets: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Draws of texts: text i has the shingles hashes[offsets[i]:offsets[i+1]] (distinct, weights > 0, at least one).
+def sample(hashes: np.ndarray, weights: np.ndarray, codes: np.ndarray, offsets: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Draws of texts: text i has the distinct tokens codes[offsets[i]:offsets[i+1]], at least one, into hashes and weights (> 0).
 
-    Gives a matrix of texts x k of 64-bit keys of (shingle, t).
+    Gives a matrix of texts x k of 64-bit keys of (token, t).
     """
-    pair = np.stack([hashes, weights.view(np.uint64)], axis=1)
-    _, first, inverse = np.unique(mix(pair[:, 0] + mix(pair[:, 1])), return_index=True, return_inverse=True)
     out = np.empty((len(offsets) - 1, k), np.uint64)
     cols = np.arange(k)
     key = lambda h, t: mix(h + t.astype(np.int64).view(np.uint64) * _M)
-    u_h, u_w = hashes[first], weights[first]
-    if len(first) <= 2 * _BLOCK:
-        a, t = _values(u_h, u_w, k, seed)
+    if len(hashes) <= 2 * _BLOCK:
+        a, t = _values(hashes, weights, k, seed)
         for i in range(len(out)):
-            own = inverse[offsets[i] : offsets[i + 1]]
+            own = codes[offsets[i] : offsets[i + 1]]
             best = own[a[own].argmin(axis=0)]
-            out[i] = key(u_h[best], t[best, cols])
+            out[i] = key(hashes[best], t[best, cols])
         return out
     for i in range(len(out)):
         least = np.full(k, np.inf, np.float32)
         for s in range(offsets[i], offsets[i + 1], _BLOCK):
-            h, w = hashes[s : min(s + _BLOCK, offsets[i + 1])], weights[s : min(s + _BLOCK, offsets[i + 1])]
-            a, t = _values(h, w, k, seed)
+            own = codes[s : min(s + _BLOCK, offsets[i + 1])]
+            a, t = _values(hashes[own], weights[own], k, seed)
             best = a.argmin(axis=0)
             now = a[best, cols]
-            win = now < least
-            least = np.where(win, now, least)
-            out[i] = np.where(win, key(h[best], t[best, cols]), out[i])
+            out[i] = np.where(now < least, key(hashes[own[best]], t[best, cols]), out[i])
+            least = np.minimum(now, least)
     return out
 
 
@@ -96,6 +92,20 @@ def band_keys(draws: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _coded(docs: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The tokens of all docs as codes, and how many each doc has."""
+    lists = pc.split_pattern(docs, " ")
+    return lists.flatten().dictionary_encode(), np.asarray(pc.list_value_length(lists))
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of the batch each token is (tokens of a text are distinct)."""
+    for batch in batches:
+        coded, _ = _coded(batch.column(0))
+        n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n)], ["s", "n"])
+
+
 def _bands(vocabulary: pa.Array, idf: np.ndarray, rare: float, bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -103,21 +113,13 @@ def _bands(vocabulary: pa.Array, idf: np.ndarray, rare: float, bands: int, rows:
                 batch = whole.slice(start, 4096)
                 # Copies within the batch are looked at once: the pre-aggregation of large groups of copies.
                 sigs, first = np.unique(np.asarray(batch.column(0)), return_index=True)
-                lists = batch.column(1).take(pa.array(first))
-                coded = lists.flatten().dictionary_encode()
-                n = len(coded.dictionary)
-                if not n:
-                    continue
+                coded, lengths = _coded(batch.column(1).take(pa.array(first)))
                 hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object)).astype(np.uint64)
                 at = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=vocabulary), -1)).astype(np.int64)
-                weight = np.where(at >= 0, idf[at], rare) if len(idf) else np.full(n, rare)
-                owner = np.repeat(np.arange(len(sigs)), np.asarray(pc.list_value_length(lists)))
-                both, tf = np.unique(owner.astype(np.int64) * n + np.asarray(coded.indices), return_counts=True)
-                owner, code = both // n, both % n
-                filled, starts = np.unique(owner, return_index=True)
-                draws = sample(hashes[code], tf * weight[code], np.append(starts, len(owner)), bands * rows, seed)
+                weight = np.where(at >= 0, idf[at], rare) if len(idf) else np.full(len(hashes), rare)
+                draws = sample(hashes, weight, np.asarray(coded.indices).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]), bands * rows, seed)
                 keys = band_keys(draws, bands, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(sigs[filled], bands))], ["key", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(sigs, bands))], ["key", "sig"])
 
     return run
 
@@ -174,22 +176,27 @@ def _bucket_pairs(limit: int):
 
 def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, y = None, frozenset()
         for batch in batches:
-            sims = np.array([jaccard(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], float)
+            sims = np.zeros(batch.num_rows)
+            for i, (b, dx, dy) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+                if b != last:
+                    last, y = b, frozenset(dy.split(" "))
+                x = dx.split(" ")
+                common = len(y.intersection(x))
+                sims[i] = common / (len(x) + len(y) - common)
             good = pa.array(sims >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good), pa.array(sims[sims >= least])], ["a", "b", "similarity"])
 
     return run
 
 
-def vocabulary(texts: DataFrame, share: float) -> tuple[list[str], list[int], int]:
-    """Shingles in at least `share` of the texts, in how many, and the number of texts. Counted over all texts."""
-    n = F.count("*").alias("n")
-    counts = texts.select(F.explode(F.concat(F.array_distinct("shingles"), F.array(F.lit(None).cast("string")))).alias("s")).groupBy("s").agg(n).cache()
-    total = counts.where(F.col("s").isNull()).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
-    rows = sorted((r["s"], r["n"]) for r in counts.where(F.col("s").isNotNull() & (F.col("n") >= max(2, total * share))).collect())
-    counts.unpersist()
-    return [r[0] for r in rows], [r[1] for r in rows], total
+def vocabulary(rows: DataFrame, share: float) -> tuple[list[str], list[int], int]:
+    """Tokens in at least `share` of the texts, in how many, and the number of texts. Counted over all texts."""
+    total = rows.count()
+    counts = rows.select("doc").mapInArrow(_token_counts, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
+    found = sorted((r["s"], r["n"]) for r in counts.where(F.col("n") >= max(2, total * share)).collect())
+    return [r[0] for r in found], [r[1] for r in found], total
 
 
 class NearDuplicates:
@@ -204,10 +211,8 @@ class NearDuplicates:
 
     def __init__(self, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, rare_share: float = RARE_SHARE, seed: int = 11, id_col: str = "id", text_col: str = "text"):
         self.least, self.bands, self.rows, self.share, self.seed = similarity, bands, rows, rare_share, seed
-        words = shingle_list(word_list(F.col(text_col)), shingle)
-        # limit-free barrier: the shingles are made once per row, then used several times
-        base = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("shingles")).where(F.size("shingles") > 0)
-        self.base = base.withColumn("sig", F.xxhash64(F.array_sort("shingles")))
+        # The texts are cut into tokens once; all further passes read that table.
+        self.base = stage(token_rows(texts, id_col, text_col, shingle), "tokens")
 
     def members(self) -> DataFrame:
         return self.base.select("sig", "id")
@@ -218,7 +223,7 @@ class NearDuplicates:
         names, counts, total = vocabulary(self.base, self.share)
         idf = np.log(1 + total / np.maximum(np.array(counts, float), total * self.share)) if names else np.empty(0)
         rare = math.log(1 + 1 / self.share)
-        rows = self.base.select("sig", "shingles").mapInArrow(_bands(pa.array(names, pa.string()), idf, rare, self.bands, self.rows, self.seed), "key bigint, sig bigint")
+        rows = self.base.select("sig", "doc").mapInArrow(_bands(pa.array(names, pa.string()), idf, rare, self.bands, self.rows, self.seed), "key bigint, sig bigint")
         sorted_ = rows.repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "sig")
         found = stage(sorted_.mapInArrow(_bucket_pairs(BUCKET), "key bigint, a bigint, b bigint"), "near")
         pairs = found.where(F.col("b").isNotNull()).select("a", "b")
@@ -231,24 +236,21 @@ class NearDuplicates:
         """All pairs of `sigs` that may reach the similarity: they share one of their rarest shingles (a prefix that
         is long enough for it, so no pair is lost). Buckets of many look-alikes hold frequent shingles; those come last."""
         spark = self.base.sparkSession
-        known = spark.createDataFrame(list(zip(names, counts)), "s string, f long") if names else spark.createDataFrame([], "s string, f long")
-        docs = self.base.join(sigs, "sig", "left_semi").dropDuplicates(["sig"]).select("sig", F.size("shingles").alias("n"), F.posexplode(F.array_sort("shingles")).alias("p", "s"))
-        from pyspark.sql import Window
-
-        docs = docs.withColumn("k", F.row_number().over(Window.partitionBy("sig", "s").orderBy("p")))
-        docs = docs.join(F.broadcast(known), "s", "left").withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy(F.coalesce("f", F.lit(1)), "s", "k")))
+        known = spark.createDataFrame(list(zip(names, counts)), "s string, f long")
+        docs = self.base.join(sigs, "sig", "left_semi").dropDuplicates(["sig"]).select("sig", F.split("doc", " ").alias("w"))
+        docs = docs.select("sig", F.size("w").alias("n"), F.explode("w").alias("s")).join(F.broadcast(known), "s", "left")
+        docs = docs.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy(F.coalesce("f", F.lit(1)), "s")))
         need = F.ceil(F.col("n") * F.lit(self.least) - 1e-9)
-        prefix = docs.where(F.col("rank") <= F.col("n") - need + 1).select("sig", "n", F.xxhash64("s", "k").alias("t"))
+        prefix = docs.where(F.col("rank") <= F.col("n") - need + 1).select("sig", "n", F.xxhash64("s").alias("t"))
         x, y = prefix.select(F.col("sig").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "t")
         fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(self.least) - 1e-9)
         return x.join(y, "t").where(fits).select("a", "b").distinct()
 
     def links(self) -> DataFrame:
         """a, b, similarity of classes, verified on their whole texts."""
-        docs = self.base.select("sig", F.array_join("shingles", "\n").alias("doc")).dropDuplicates(["sig"])
-        split = lambda c: F.split(c, "\n")
+        docs = self.base.select("sig", "doc").dropDuplicates(["sig"])
         x, y = docs.select(F.col("sig").alias("a"), F.col("doc").alias("x")), docs.select(F.col("sig").alias("b"), F.col("doc").alias("y"))
-        both = self.candidates().join(x, "a").join(y, "b").select("a", "b", split("x").alias("x"), split("y").alias("y"))
+        both = self.candidates().join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return both.mapInArrow(_verified(self.least), "a bigint, b bigint, similarity double")
 
     def pairs(self) -> DataFrame:

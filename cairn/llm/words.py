@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,21 +21,43 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingle_list(words: Column, size: int) -> Column:
-    """Runs of `size` consecutive words; the words themselves for size 1, the whole text if it has fewer words."""
-    if size == 1:
-        return words
-    last = F.greatest(F.size(words) - size + 1, F.lit(1))
-    return F.when(F.size(words) == 0, words).otherwise(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, size), " ")))
-
-
-def jaccard(a: list[str], b: list[str]) -> float:
-    """Items common to both, divided by those of both together, counted with repetition; 0 for two empty lists."""
-    x = Counter(a)
-    common = 0
-    for w in b:
-        if x.get(w, 0) > 0:
-            x[w] -= 1
-            common += 1
-    both = len(a) + len(b) - common
-    return common / both if both else 0.0
+_WORD = re.compile(r"[^\W_]+")
+
+
+def tokens(text: str, size: int = 1) -> list[str]:
+    """Sorted shingles of `size` consecutive words (see word_list); the whole text as one if it has fewer words.
+
+    Repeats of a shingle carry their number after a \\1, so that sets of tokens compare as shingles counted with repetition.
+    """
+    found = _WORD.findall(text.lower())
+    if size > 1 and found:
+        found = ["\2".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))]
+    if len(set(found)) == len(found):
+        return sorted(found)
+    seen: dict[str, int] = {}
+    out = []
+    for w in found:
+        n = seen[w] = seen.get(w, 0) + 1
+        out.append(w if n == 1 else f"{w}\1{n}")
+    return sorted(out)
+
+
+def _token_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sigs, docs = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                doc = " ".join(tokens(text, size))
+                if doc:
+                    ids.append(i)
+                    docs.append(doc)
+                    sigs.append(int.from_bytes(blake2b(doc.encode(), digest_size=8).digest(), "little", signed=True))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()), pa.array(docs, pa.string())], ["id", "sig", "doc"])
+
+    return run
+
+
+def token_rows(texts: DataFrame, id_col: str, text_col: str, size: int = 1) -> DataFrame:
+    """id, sig, doc: each text's tokens joined by blanks, and their hash, the same for texts with the same tokens. Texts without a word are left out."""
+    rows = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_token_rows(size), "id bigint, sig bigint, doc string")
