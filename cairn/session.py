@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,8 +83,28 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application: they may not have it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(prefix="cairn-"), "cairn.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, files in sorted(os.walk(root)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("cairn", os.path.relpath(full, root)))
+    sc.addPyFile(at)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["build_session", "checkpoint_dir", "cut", "stage", "stage_path", "shuffle_width"]
+__all__ = ["build_session", "checkpoint_dir", "cut", "ship_package", "stage", "stage_path", "shuffle_width"]
