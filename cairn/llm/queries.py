@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm import cutoffs, languages, leaks
+from cairn.llm.batches import repeated_facts
 from cairn.llm.near import NearDuplicates
 from cairn.llm.pairs import co_occurrence, tag_baskets
 from cairn.llm.words import first_text
@@ -15,6 +17,27 @@ from cairn.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.labelled_texts(*(table(spark, folder, n) for n in ("memories", "agent_commands", "documents")))
+
+
+def _languages(spark: SparkSession, folder: str) -> languages.LanguageModel:
+    return languages.fit_languages(_labelled(spark, folder).select("text", F.col("label").alias("lang")))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.mislabelled(_labelled(spark, folder), _languages(spark, folder)).select("src", "row_id", "lang")
+
+
+def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Language, length and confidence of every segment of every text."""
+    return languages.text_languages(_labelled(spark, folder), _languages(spark, folder))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_facts(table(spark, folder, "extracted_facts"))
+
+
 def _baskets(spark: SparkSession, folder: str) -> DataFrame:
     return tag_baskets(table(spark, folder, "memories"), table(spark, folder, "goals"))
 
@@ -42,4 +65,25 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _near_memories(spark, folder).groups().select(F.col("id").alias("seq"), "group_id", "links")
 
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found, "p6_odds": p6_odds, "p7_found": p7_found, "p7_groups": p7_groups}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Into how many documents each leaked item went, and the most windows of it that one of them holds."""
+    found = leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("windows").alias("most_windows"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return cutoffs.cut_texts(table(spark, folder, "documents")).select("doc_id")
+
+
+def p10_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return cutoffs.cut_by_source(documents, cutoffs.cut_texts(documents))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (p1_found, p1_segments, p5_found, p6_found, p6_odds, p7_found, p7_groups, p9_found, p9_items, p10_found, p10_by_source)
+}
