@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import cutoffs, languages, leaks
+from cairn.llm import cutoffs, languages, leaks, packing, personal
 from cairn.llm.batches import repeated_facts
 from cairn.llm.near import NearDuplicates
 from cairn.llm.pairs import co_occurrence, tag_baskets
@@ -34,6 +34,17 @@ def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
     return languages.text_languages(_labelled(spark, folder), _languages(spark, folder))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = personal.personal_texts(table(spark, folder, "memories"), table(spark, folder, "goals"))
+    return personal.find_personal(texts, table(spark, folder, "contacts"))
+
+
+def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts with placeholders in the place of personal information."""
+    texts = personal.personal_texts(table(spark, folder, "memories"), table(spark, folder, "goals"))
+    return personal.mask_personal(texts, table(spark, folder, "contacts"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_facts(table(spark, folder, "extracted_facts"))
 
@@ -65,6 +76,21 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _near_memories(spark, folder).groups().select(F.col("id").alias("seq"), "group_id", "links")
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    capacities = [r["capacity_tokens"] for r in table(spark, folder, "containers").select("capacity_tokens").distinct().collect()]
+    return packing.assign(table(spark, folder, "documents"), capacities)
+
+
+def p8_assign(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, or piece of one, in containers of every capacity."""
+    return _packed(spark, folder)
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill(_packed(spark, folder))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
@@ -85,5 +111,5 @@ def p10_by_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_segments, p5_found, p6_found, p6_odds, p7_found, p7_groups, p9_found, p9_items, p10_found, p10_by_source)
+    f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_masked, p5_found, p6_found, p6_odds, p7_found, p7_groups, p8_assign, p8_fill, p9_found, p9_items, p10_found, p10_by_source)
 }
