@@ -70,7 +70,7 @@ def patterns(lengths: list[int], counts: dict[int, int], capacity: int) -> list[
 
     A length as often as it fits, or less, and one or two others that fill the rest best.
     """
-    window = max(1, int(capacity * WINDOW))
+    window = int(capacity * WINDOW)
     out = []
 
     def fit(room: int) -> int:
