@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,17 @@ NOW = datetime(2026, 6, 1, 12, 0, 0)
 WORD, KEYWORDS = "backup", ["graph", "НОЧ", "queue"]
 
 
+def in_micros(df: DataFrame) -> DataFrame:
+    """Timestamps as micros since 1970, which every engine writes alike."""
+    return df.withColumns({c: F.unix_micros(c) for c, kind in df.dtypes if kind == "timestamp"}) if any(kind == "timestamp" for _, kind in df.dtypes) else df
+
+
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    @wraps(f)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return in_micros(f(spark, folder))
+
+    QUERIES[f.__name__] = run
     return f
 
 

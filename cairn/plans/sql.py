@@ -189,3 +189,10 @@ ORACLE: dict[str, str] = {
     "extracted_facts": "SELECT 'memory/auto/2026-06-01/' || left(md5(text), 8) AS key, text AS content, 'echo' AS summary, 'auto-extract' AS source FROM agent_commands WHERE text IS NOT NULL",
 }
 
+
+#: Timestamps of results, given in micros since 1970 as the queries do.
+_TIMES = {
+    "kv_current": ("created_at", "modified_at"), "kv_put": ("created_at", "modified_at"), "kv_delete": ("created_at",), "kv_get": ("created_at", "modified_at"), "kv_info": ("created_at", "modified_at"),
+    "find": ("created_at",), "find_cyrillic": ("created_at",), "goal_current": ("created_at", "updated_at"), "goal_update": ("updated_at",), "timeline_range": ("created_at",), "session_latest": ("created_at",),
+}
+ORACLE |= {name: f"SELECT * REPLACE ({', '.join(f'epoch_us({c}) AS {c}' for c in cols)}) FROM ({ORACLE[name]})" for name, cols in _TIMES.items()}

@@ -7,7 +7,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.path.join(ROOT, "tests"), os.environ.get("PYTHONPATH", "")])
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("CAIRN_TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
