@@ -9,7 +9,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The letters that a keyword's first letter is also tried in upper case for.
 FIRST_LOWER = LOWER + "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
 FIRST_UPPER = UPPER + "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ"
+#: The patterns of subtasks, and of keys with an equals sign in suggestions, with and without a closing quote.
 SUBTASK = r"(?m)^\s*[-*+]\s+\[([ xX])\]"
+QUOTED_EQUALS = r'"(description|title|type|summary)="([^"]*)"'
+BARE_EQUALS = r'"(description|title|type|summary)=([^",}\]]+)'
 SPACES = r"(?U)^\s+|\s+$"
 
 
@@ -118,8 +121,7 @@ def status_icon(status: Column) -> Column:
 
 def repaired_json(text: Column) -> Column:
     """Keys of the suggestion form whose colon and quotes came out as an equals sign, put right: first with a closing quote, then without."""
-    t = F.regexp_replace(text, r'"(description|title|type|summary)="([^"]*)"', r'"$1":"$2"')
-    return F.regexp_replace(t, r'"(description|title|type|summary)=([^",}\]]+)', r'"$1":"$2"')
+    return F.regexp_replace(F.regexp_replace(text, QUOTED_EQUALS, '"$1":"$2"'), BARE_EQUALS, '"$1":"$2"')
 
 
 def between(text: Column, left: str, right: str) -> Column:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from cairn.operators import goals as goal_ops
 from cairn.operators.search import search
 
+#: Headings of the sections.
+HEADS = {1: "=== Relevant memories ===", 2: "\n=== Active goals ===", 3: "\n=== Upcoming reminders ==="}
+
 
 def memories(embeddings: DataFrame, values: DataFrame, query: Sequence[float], limit: int = 5) -> DataFrame:
     """rank, key, score, content, summary, created_at of the best hits; hits without a value are dropped, ranks are those before that."""
@@ -37,8 +40,7 @@ def lines(found: DataFrame, goals: DataFrame, notes: DataFrame) -> DataFrame:
 
 def text(rows: DataFrame, now: datetime) -> DataFrame:
     """One row, text: the sections under their headings, after the time. A bounded text: its rows are limited by the operators that made them."""
-    heads = {1: "=== Relevant memories ===", 2: "\n=== Active goals ===", 3: "\n=== Upcoming reminders ==="}
-    head = F.element_at(F.create_map(*[F.lit(x) for kv in heads.items() for x in kv]), F.col("section"))
+    head = F.element_at(F.create_map(*[F.lit(x) for kv in HEADS.items() for x in kv]), F.col("section"))
     per = rows.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda s: s["line"]), "\n").alias("body"))
     body = per.select("section", F.concat(head, F.lit("\n"), "body").alias("body"))
     return body.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "body"))), lambda s: s["body"]), "\n").alias("text")).select(F.when(F.col("text") != "", F.concat(F.lit(now.strftime("%Y-%m-%d %H:%M:%S") + "\n"), "text")).otherwise("").alias("text"))

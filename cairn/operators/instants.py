@@ -79,9 +79,9 @@ def normalise_times(values: DataFrame, clocks: DataFrame, text: str = "text", so
     twice give null. A date alone is its first instant on its clock: the end of the gap if midnight is skipped, the
     first of two midnights. Rows are kept one to one, extra columns too. Empty tables give empty results.
 
-    No shuffle of `values`: clocks and zone intervals have bounded sizes and are broadcast.
+    No shuffle of `values`: the clocks are few and Spark broadcasts them by their size, the zone intervals have a bounded size and are broadcast.
     """
-    c = F.broadcast(clocks.dropDuplicates(["source"]).select(F.col("source").alias("_source"), F.col("zone_name").alias("_home"), F.col("day_first").alias("_day_first")))
+    c = clocks.dropDuplicates(["source"]).select(F.col("source").alias("_source"), F.col("zone_name").alias("_home"), F.col("day_first").alias("_day_first"))
     named = F.regexp_extract(F.col(text), r"([A-Za-z]+(?:/[A-Za-z0-9_+-]+)+)\]?\s*$", 1)
     zones = clocks.select(F.col("zone_name").alias("zone")).unionByName(values.select(named.alias("zone")).where(F.col("zone") != "").distinct())
     spans = F.broadcast(zone_intervals(zones).select(F.col("zone").alias("_z"), F.col("year").alias("_zy"), F.col("spans").alias("_spans")))

@@ -9,8 +9,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions import durations, messages, text
-from cairn.operators import context, dig, goals, graph, instants, models, references, search, sessions, timeline
+from cairn.functions import durations, messages, render, text
+from cairn.operators import context, dig, goals, graph, instants, models, references, resources, search, sessions, timeline
 from cairn.sources import adapters, store
 from cairn.sources.tables import table
 
@@ -396,6 +396,47 @@ def context_lines(spark: SparkSession, folder: str) -> DataFrame:
     return context.lines(_context(spark, folder), adapters.goals(spark, folder), context.reminders(adapters.memories(spark, folder), NOW))
 
 
+# Views and lines for people to read.
+
+
+@query
+def resource_goals(spark: SparkSession, folder: str) -> DataFrame:
+    return resources.goal_view(adapters.goals(spark, folder))
+
+
+@query
+def resource_timeline(spark: SparkSession, folder: str) -> DataFrame:
+    return resources.timeline_view(adapters.timeline(spark, folder))
+
+
+@query
+def resource_insights(spark: SparkSession, folder: str) -> DataFrame:
+    return resources.insights(adapters.goals(spark, folder), adapters.timeline(spark, folder))
+
+
+@query
+def resource_awareness(spark: SparkSession, folder: str) -> DataFrame:
+    lines = context.lines(_context(spark, folder), adapters.goals(spark, folder), context.reminders(adapters.memories(spark, folder), NOW))
+    return resources.awareness(adapters.goals(spark, folder), adapters.timeline(spark, folder), lines)
+
+
+@query
+def context_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole text that is put before a question, as one row."""
+    lines = context.lines(_context(spark, folder), adapters.goals(spark, folder), context.reminders(adapters.memories(spark, folder), NOW))
+    return context.text(lines, NOW)
+
+
+@query
+def render_cards(spark: SparkSession, folder: str) -> DataFrame:
+    return adapters.goals(spark, folder).select("id", render.goal_card(F.col("title"), F.col("description"), F.col("labels"), F.col("deadline"), F.col("progress")).alias("card"))
+
+
+@query
+def render_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return _context(spark, folder).select(render.hit_line(F.col("rank"), F.col("key"), F.col("score"), F.col("content")).alias("line"))
+
+
 # Texts of messages.
 
 

@@ -173,6 +173,15 @@ ORACLE: dict[str, str] = {
         SELECT CAST(rank AS INTEGER) AS rank, key, round(score, 6) AS score, coalesce(project, '') AS summary FROM top JOIN documents ON 'memory/vec/' || doc_id = key""",
     "context_reminders": f"""WITH {_KV} SELECT key, value FROM kv WHERE starts_with(key, 'memory/reminder/') AND key NOT LIKE '%/'
         AND (try_cast(split_part(key, '/', 3) AS DATE) IS NULL OR split_part(key, '/', 4) = '' OR try_cast(split_part(key, '/', 3) AS DATE) >= TIMESTAMP '2026-05-31 12:00:00')""",
+    "resource_goals": f"""WITH {_GOALS}, f AS (SELECT * FROM goal WHERE status = 'active' ORDER BY priority DESC, created_at DESC, id LIMIT 1000)
+        SELECT 'goals' AS section, CAST(row_number() OVER (ORDER BY priority DESC, created_at DESC, id) AS INTEGER) AS position,
+        '▶ ' || rpad(CASE WHEN length(id) > 24 THEN left(id, 21) || '...' ELSE id END, 24, ' ') || ' P' || priority || ' [' || repeat('█', progress * 10 // 100) || repeat('░', 10 - progress * 10 // 100) || '] ' || lpad(progress::VARCHAR, 3, ' ') || '% ' ||
+        CASE WHEN length(title) > 40 THEN left(title, 39) || '…' ELSE coalesce(title, '') END AS line FROM f""",
+    "resource_timeline": """WITH t AS (SELECT * FROM timeline_events ORDER BY received_at DESC, id DESC LIMIT 50)
+        SELECT 'timeline' AS section, CAST(row_number() OVER (ORDER BY received_at DESC, id DESC) AS INTEGER) AS position,
+        '[' || strftime(received_at AT TIME ZONE 'UTC', '%Y-%m-%d') || '] ' || coalesce(key, '') || ': ' || CASE WHEN length(summary) > 80 THEN left(summary, 80) || '…' ELSE coalesce(summary, '') END AS line FROM t QUALIFY position <= 20""",
+    "resource_insights": f"""WITH {_GOALS}, a AS (SELECT 'statuses' AS section, coalesce(status, '') AS name, count(*) AS n FROM goal GROUP BY ALL UNION ALL SELECT 'types', coalesce(event_type, ''), count(*) FROM timeline_events GROUP BY ALL)
+        SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY n DESC, name) AS INTEGER) AS position, name || ': ' || n AS line FROM a""",
     "classify": _CLASS,
     "greetings": f"""WITH t AS (SELECT command_id, {messages.GREETINGS}[command_id % {len(messages.GREETINGS)} + 1] || left(text, 4) AS t, lang FROM agent_commands WHERE text IS NOT NULL), l AS (SELECT *, lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS low FROM t)
         SELECT command_id, strlen(t) < 20 AND ({' OR '.join(f"low = '{g}' OR starts_with(low, '{g} ') OR starts_with(low, '{g}!') OR starts_with(low, '{g}?')" for g in messages.GREETINGS)}) AS greeting,
