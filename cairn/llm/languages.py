@@ -32,7 +32,7 @@ NAMES = {
     "uk": ("ukr", "ukrainian", "українська", "ukrainien", "ukrainisch", "ucraniano", "украинский"),
 }
 #: Labelled texts of each language that the machines are fitted on, at most; and sentences of each text.
-TEXTS, SENTENCES = 1000, 4
+TEXTS, SENTENCES = 600, 3
 DIMENSIONS = 1 << 13
 #: Words that a segment needs to count as a language of its own text.
 LEAST_WORDS = 5
@@ -82,7 +82,7 @@ def features(word: str) -> np.ndarray:
     return np.array([zlib.crc32(g.encode()) % DIMENSIONS for g in grams])
 
 
-def fit_svm(rows: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, rounds: int = 60, c: float = 1e-5) -> np.ndarray:
+def fit_svm(rows: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, rounds: int = 50, c: float = 1e-5) -> np.ndarray:
     """Weights (last: bias) of a linear SVM with squared hinge loss and y in {-1, 1}, by accelerated gradient steps.
 
     rows: feature indices, their values, and the first index of each row. All sums run in a fixed order: the same input gives the same machine.
@@ -146,12 +146,16 @@ class LanguageModel:
         fam = np.array([family[a] for a in y])
         pairs = [*combinations(FAMILIES, 2), *(p for codes in FAMILIES.values() for p in combinations(codes, 2))]
         model = cls(pairs, np.zeros((DIMENSIONS + 1, len(pairs)), np.float32))
+        index, value, starts = cls.rows(sents)
+        n = np.diff(np.append(starts, len(index)))
         for last in (False, True):  # the second fit leaves out sentences whose label the first one contradicts
             for k, (a, b) in enumerate(pairs):
                 of = fam if a in FAMILIES else y
-                mine = np.flatnonzero(((of == a) | (of == b)) & keep)
-                if len(mine):
-                    model.weights[:, k] = fit_svm(cls.rows([sents[i] for i in mine]), np.where(of[mine] == a, 1.0, -1.0))
+                mine = ((of == a) | (of == b)) & keep
+                if mine.any():
+                    part = np.repeat(mine, n)
+                    own = (index[part], value[part], np.concatenate([[0], np.cumsum(n[mine])[:-1]]))
+                    model.weights[:, k] = fit_svm(own, np.where(of[mine] == a, 1.0, -1.0))
             if not last:
                 guess = model.classify(sents)[0]
                 keep = np.array([LANGUAGES[g] == a for g, a in zip(guess, y)])
