@@ -102,8 +102,8 @@ ORACLE: dict[str, str] = {
     "p3_found": f"{_BROKEN} SELECT src, row_id, kind FROM broken WHERE kind IS NOT NULL",
     "p3_by_month": f"{_BROKEN} SELECT src, strftime(received_at AT TIME ZONE 'UTC', '%Y-%m') AS month, kind, count(*) AS n FROM broken WHERE kind IS NOT NULL GROUP BY 1, 2, 3",
     "kv_current": f"WITH {_KV} SELECT * FROM kv",
-    "kv_put": f"""WITH {_KV} SELECT key, CASE WHEN length(key) % 10 = 0 THEN value || '*' ELSE value END AS value, created_at,
-        CASE WHEN length(key) % 10 = 0 THEN {_NOW} ELSE modified_at END AS modified_at FROM kv""",
+    "kv_put": f"""WITH {_KV} SELECT key, CASE WHEN starts_with(key, 'memory/technical/') THEN value || '*' ELSE value END AS value, created_at,
+        CASE WHEN starts_with(key, 'memory/technical/') THEN {_NOW} ELSE modified_at END AS modified_at FROM kv""",
     "kv_delete": f"WITH {_KV} SELECT key, created_at FROM kv WHERE NOT starts_with(key, 'memory/technical/')",
     "kv_auto_key": """SELECT command_id, CASE WHEN command_id % 3 = 0 OR command_id % 2 = 1 THEN 'memory/auto/2026-06-01/' || left(md5(coalesce(text, '')), 8) ELSE 'k/' || command_id END AS key FROM agent_commands""",
     "kv_get": f"WITH {_KV} SELECT * FROM kv WHERE key = (SELECT min(key) FROM kv)",
@@ -124,7 +124,8 @@ ORACLE: dict[str, str] = {
             FROM m LEFT JOIN e ON m.match_key = e.match_key GROUP BY m.match_key
         ) SELECT match_key, CAST(least(100, 50 + 25 * len(k)) AS INTEGER) AS relevance, array_to_string(k, ',') AS keywords, CAST(n_before AS INTEGER) AS n_before, CAST(n_after AS INTEGER) AS n_after FROM p""",
     "dig_entries": f"{_DIG} SELECT match_key, CASE WHEN delta < 0 THEN 'before' ELSE 'after' END AS side, key, {_DELTA.format('delta')} AS delta FROM e",
-    "time_window": "SELECT p.id AS point, count(*) AS n FROM timeline_events p JOIN timeline_events e ON e.received_at BETWEEN p.received_at - INTERVAL 1 HOUR AND p.received_at + INTERVAL 1 HOUR WHERE p.id % 50 = 0 GROUP BY 1",
+    "time_window": """WITH t AS (SELECT id, CAST(floor(epoch(received_at)) AS BIGINT) AS s FROM timeline_events), k AS (SELECT s AS x, count(*) AS k FROM t GROUP BY s)
+        SELECT id, CAST(sum(k) AS BIGINT) AS n FROM t JOIN k ON x BETWEEN s - 3600 AND s + 3600 GROUP BY id""",
     "flex_duration": """SELECT command_id, CASE command_id % 6 WHEN 0 THEN priority * 86400 WHEN 1 THEN priority * 3600 WHEN 2 THEN priority * 60 WHEN 3 THEN priority WHEN 4 THEN priority * 3600 + 1800 END AS seconds FROM agent_commands""",
     "fmt_delta": f"WITH d AS (SELECT id, CAST(floor(epoch(received_at)) AS BIGINT) - 1767225600 AS d FROM timeline_events) SELECT id, {_DELTA.format('d')} AS delta FROM d",
     "vector_cosine": f"WITH {_SCORES} SELECT key, round(score, 6) AS score FROM scored",
@@ -140,8 +141,8 @@ ORACLE: dict[str, str] = {
     "goal_list_label": f"WITH {_GOALS}, h AS (SELECT * FROM goal WHERE list_contains(list_transform(labels, lambda x: translate(x, '{UPPER}', '{LOWER}')), 'project') ORDER BY priority DESC, created_at DESC, id LIMIT 1000) SELECT id, array_to_string(labels, ',') AS labels FROM h",
     "goal_create": f"""SELECT 'goal/' || strftime(received_at AT TIME ZONE 'UTC', '%Y-%m-%d') || '/' || command_id AS id, title, 'active' AS status, coalesce(array_to_string({_labels('labels')}, ','), '') AS labels,
         greatest(0, least(10, priority)) AS priority, 0 AS progress FROM agent_commands WHERE call = 'create_goal' AND coalesce(title, '') <> '' AND coalesce(content, '') NOT LIKE '%- [%'""",
-    "goal_update": f"""WITH {_GOALS} SELECT id, title, CASE WHEN priority % 3 = 0 THEN 'archived' ELSE status END AS status, CASE WHEN priority % 3 = 0 THEN 'x' ELSE array_to_string(labels, ',') END AS labels, priority,
-        CASE WHEN priority % 3 = 0 THEN 66 ELSE progress END AS progress, CASE WHEN priority % 3 = 0 THEN {_NOW} ELSE updated_at END AS updated_at FROM goal""",
+    "goal_update": f"""WITH {_GOALS} SELECT id, title, CASE WHEN status = 'completed' THEN 'archived' ELSE status END AS status, CASE WHEN status = 'completed' THEN 'x' ELSE array_to_string(labels, ',') END AS labels, priority,
+        CASE WHEN status = 'completed' THEN 66 ELSE progress END AS progress, CASE WHEN status = 'completed' THEN {_NOW} ELSE updated_at END AS updated_at FROM goal""",
     "goal_delete": f"WITH {_GOALS} SELECT id, status FROM goal WHERE coalesce(status, '') <> 'archived'",
     "goal_mirror": f"WITH {_GOALS} SELECT 'memory/goals/' || coalesce(nullif(status, ''), 'active') || '/' || id AS key, description AS content, title AS summary, array_to_string(labels, ',') AS tags, 'goal-tracker' AS source FROM goal",
     "goal_show": f"""WITH {_GOALS}, f AS (SELECT * FROM goal WHERE starts_with(id, 'goal/2026-0') ORDER BY priority DESC, created_at DESC, id LIMIT 1)

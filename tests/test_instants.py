@@ -67,3 +67,25 @@ def test_spans_agree_with_the_zone_hour_by_hour():
         back = {o for o in wanted if (t - timedelta(seconds=o)).replace(tzinfo=timezone.utc).astimezone(zone).replace(tzinfo=None) == t}
         assert {o for lo, hi, o in spans if lo <= s < hi} == back
     assert zone_spans("No/Where") == []
+
+
+def test_random_times_in_random_forms(spark):
+    import random
+
+    g = random.Random(7)
+    clocks = {"mos": "Europe/Moscow", "ny": "America/New_York", "utc": "UTC"}
+    rows, wanted = [], []
+    for _ in range(400):
+        source = g.choice(list(clocks))
+        zone = ZoneInfo(clocks[source])
+        t = datetime(2025, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=g.randrange(700 * 86400))
+        wall = t.astimezone(zone).replace(tzinfo=None)
+        day_first = source != "ny"
+        form = g.choice(["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%d.%m.%Y %H:%M:%S", "%d/%m/%Y %H:%M:%S" if day_first else "%m/%d/%Y %H:%M:%S", "%b %d, %Y %I:%M %p", "%d %B %Y %H:%M"])
+        text = wall.strftime(form)
+        read = datetime.strptime(text, form)
+        back = {(read.replace(tzinfo=zone, fold=f)).astimezone(timezone.utc) for f in (0, 1)}
+        fits = {b for b in back if b.astimezone(zone).replace(tzinfo=None) == read}
+        rows.append((text, source))
+        wanted.append(round(fits.pop().timestamp()) * 1_000_000 if len(fits) == 1 else None)
+    assert run(spark, rows) == wanted
