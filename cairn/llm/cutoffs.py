@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.skew import salted_lookup
+from cairn.session import stage
+
 #: Phrases that close a complete text although it trails off.
 TRAILING_OFF = (
     "more on this later", "more later", "to be continued", "we shall see", "we will see", "and so on", "mehr dazu später", "fortsetzung folgt", "wir werden sehen",
@@ -73,8 +76,9 @@ def ending(text: str) -> tuple[str, str, str]:
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [ending(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.string()) for k in range(3))], ["doc_id", "ending", "token", "phrase"])
+        texts = batch.column(2).to_pylist()
+        rows = [ending(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int32()), *(pa.array([r[k] for r in rows], pa.string()) for k in range(3))], ["doc_id", "source", "length", "ending", "token", "phrase"])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +114,12 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     rows count each; a vocabulary of few texts knows few words, then only the ending counts. Extra columns do not matter.
     """
     texts = documents.where(F.col("text").isNotNull() & (F.col("text") != "")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source")
-    ends = texts.select("doc_id", "text").mapInArrow(_endings, "doc_id bigint, ending string, token string, phrase string")
-    unclear = ends.where(~F.col("ending").isin("empty", "closed"))
-    # Only the last tokens are looked up in the trie.
-    found = trie(texts).withColumnRenamed("node", "token")
+    ends = texts.select("doc_id", "source", "text").mapInArrow(_endings, "doc_id bigint, source string, length int, ending string, token string, phrase string")
+    # What is unclear is a small part, written once; many texts may end with one word, so the trie is looked up with salted keys.
+    unclear = stage(ends.where(~F.col("ending").isin("empty", "closed")), "ends")
     lim = limits(texts).select(F.col("source").alias("_s"), F.col("n_chars").alias("_n"), F.lit(True).alias("_limit"))
-    at_limit = texts.select("doc_id", "source", F.length("text").alias("_len")).join(lim, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_len") == F.col("_n")), "left")
-    judged = unclear.join(found, "token", "left").join(at_limit.select("doc_id", "source", "_limit"), "doc_id")
+    judged = salted_lookup(unclear, trie(texts).withColumnRenamed("node", "token"), "token", F.col("doc_id"))
+    judged = judged.join(lim, F.col("source").eqNullSafe(F.col("_s")) & (F.col("length") == F.col("_n")), "left")
     unknown_prefix = (F.col("token") != "") & ~F.coalesce("known", F.lit(True))
     phrase_closed = F.col("phrase").isin(*TRAILING_OFF)
     why = (

@@ -14,14 +14,15 @@ def run(spark, rows):
 def test_cuts(spark):
     rows = [
         (1, "The queue sorts the arch", "web"), (2, "The queue sorts the archived", "web"), (3, "The queue sorts the arch…", "web"), (4, "The queue sorts the archived [...]", None), (5, "It is sorted, and �", "web"),
-        (6, "See:\n```\nexport LIMI", "web"), (7, "The queue sorts the notes,", "web"),
+        (6, "See:\n```\nexport LIMI", "web"), (7, "The queue sorts the notes,", "web"), (8, "Again the arch", "web"), (8, "Again the arch", "web"),
         (20, "Done. To be continued…", "web"), (21, "Done.\n#memory #project", "web"), (22, "Done.\n— Queue bot", "web"), (23, "Done.\nmemory/project/queue/notes", "web"), (24, "Done.\n- [x] The notes (Queue)", "web"),
         (25, "Done.\n```\nx = 1\n```", "web"), (26, "Done. ✅", "web"), (27, "Done.\nv1.2.3", "web"), (28, None, "web"), (29, "", "web"), (30, "Is it?", "web"), (31, "word. " * 40_000, None), (31, "word. " * 40_000, None), (32, " \n ", "web"),
     ]
     df, got = run(spark, rows)
-    assert got == {1: "word", 2: "sentence", 3: "word", 4: "mark", 5: "character", 6: "code", 7: "sentence"}
+    assert got == {1: "word", 2: "sentence", 3: "word", 4: "mark", 5: "character", 6: "code", 7: "sentence", 8: "word"}
+    assert cut_texts(df).count() == 9
     by = {r["source"]: (r["texts"], r["cut"]) for r in cut_by_source(df, cut_texts(df)).collect()}
-    assert by[None] == (3, 1) and by["web"][1] == 6
+    assert by[None] == (3, 1) and by["web"][1] == 8
 
 
 def test_keys_cut_at_a_limit(spark):
