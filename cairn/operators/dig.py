@@ -33,32 +33,39 @@ def relevance(hits: Column) -> Column:
     return F.least(F.lit(100), F.lit(50) + F.size(hits) * 25)
 
 
-def entries(kv: DataFrame, query: str, keywords: list[str], window: str = "", most: int = 10) -> DataFrame:
-    """match_key, match_at, key, value, created_at, delta (seconds) of every entry of every scene, matches without entries with nulls.
+def around(kv: DataFrame, query: str, keywords: list[str], window: str = "", most: int = 10) -> DataFrame:
+    """match_key, match_at, key, value, created_at, delta (seconds), own, hits of what lies around the first `most` matches by key.
 
-    The first `most` matches by key; of each the earliest 2 * most entries of the window, of which the match itself takes a place but is
-    no entry. Times are compared to the second.
+    Of each match the earliest 2 * most rows of its window, times compared to the second. The match itself lies in its window and takes one of
+    these places, but is no entry: `own` marks it. So every match has a row here, and the values are read twice in all, once for the matches.
     """
-    w = window_seconds(window)
     points = find(kv, query, most).select(F.col("key").alias("match_key"), F.col("created_at").alias("match_at"))
-    rows = in_window(points, kv.select("key", "value", "created_at"), w, "match_at")
+    rows = in_window(points, kv.select("key", "value", "created_at"), max(0.0, window_seconds(window)), "match_at")
     order = Window.partitionBy("match_key").orderBy("created_at", "key")
-    kept = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 2 * most).where(F.col("key") != F.col("match_key"))
-    kept = kept.select("match_key", "key", "value", "created_at", (F.unix_timestamp("created_at") - F.unix_timestamp("match_at")).alias("delta"), keyword_hits(F.concat("key", F.lit(" "), "value"), keywords).alias("_hits"))
-    return points.join(kept, "match_key", "left")
+    kept = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 2 * most)
+    delta = F.unix_timestamp("created_at") - F.unix_timestamp("match_at")
+    return kept.select("match_key", "match_at", "key", "value", "created_at", delta.alias("delta"), (F.col("key") == F.col("match_key")).alias("own"), keyword_hits(F.concat("key", F.lit(" "), "value"), keywords).alias("hits"))
+
+
+def entries(kv: DataFrame, query: str, keywords: list[str], window: str = "", most: int = 10) -> DataFrame:
+    """match_key, relevance, side (before or after), key, delta of every entry of every scene."""
+    s = scenes(kv, query, keywords, window, most)
+    named = lambda side: F.transform(side, lambda e: F.struct(F.lit(side).alias("side"), e["key"].alias("key"), e["delta"].alias("delta")))
+    return s.select("match_key", "relevance", F.explode(F.concat(named("before"), named("after"))).alias("e")).select("match_key", "relevance", "e.side", "e.key", "e.delta")
 
 
 def scenes(kv: DataFrame, query: str, keywords: list[str], window: str = "", most: int = 10) -> DataFrame:
-    """match_key, match_at, relevance, keywords, before, after (arrays of key, delta, created_at in order of time), by relevance, then key.
+    """match_key, match_at, relevance, keywords, before, after (arrays of created_at, key, delta in order of time), by relevance, then key.
 
     relevance is 50, and 25 more for each keyword that some entry holds, 100 at most. An entry at the match's own second comes after it.
     """
-    e = entries(kv, query, keywords, window, most)
+    e = around(kv, query, keywords, window, most)
     item = F.struct("created_at", "key", delta_text(F.col("delta")).alias("delta"))
-    side = lambda cond: F.array_sort(F.collect_list(F.when(cond, item)))
+    side = lambda cond: F.array_sort(F.collect_list(F.when(cond & ~F.col("own"), item)))
+    none = F.array().cast("array<string>")
     got = e.groupBy("match_key", "match_at").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.coalesce("_hits", F.array().cast("array<string>"))))).alias("_k"), side(F.col("delta") < 0).alias("before"), side(F.col("delta") >= 0).alias("after")
+        F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("own"), F.col("hits")).otherwise(none)))).alias("_k"), side(F.col("delta") < 0).alias("before"), side(F.col("delta") >= 0).alias("after")
     )
-    asked = F.array(*[F.lit(k) for k in dict.fromkeys(keywords) if k]) if any(keywords) else F.array().cast("array<string>")
+    asked = F.array(*[F.lit(k) for k in dict.fromkeys(keywords) if k]) if any(keywords) else none
     got = got.withColumn("keywords", F.filter(asked, lambda k: F.array_contains("_k", k)))
     return got.select("match_key", "match_at", relevance(F.col("keywords")).alias("relevance"), "keywords", "before", "after").orderBy(F.desc("relevance"), "match_key").limit(most)

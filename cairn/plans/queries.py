@@ -174,9 +174,7 @@ def dig_scenes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def dig_entries(spark: SparkSession, folder: str) -> DataFrame:
-    s = _dig(spark, folder)
-    side = lambda c: s.select("match_key", F.lit(c).alias("side"), F.explode(c).alias("e"))
-    return side("before").unionByName(side("after")).select("match_key", "side", "e.key", "e.delta")
+    return dig.entries(adapters.memories(spark, folder), WORD, KEYWORDS, "1d", 10).select("match_key", "side", "key", "delta")
 
 
 @query

@@ -25,10 +25,10 @@ def memories(spark: SparkSession, folder: str) -> DataFrame:
 def goals(spark: SparkSession, folder: str) -> DataFrame:
     """The last version of each goal that is not deleted."""
     g = table(spark, folder, "goals")
-    last = F.max_by(F.struct("title", "description", "status", "labels", "priority", "progress", "deadline", "deleted"), "seq")
-    now = g.groupBy("id").agg(last.alias("g"), F.min("received_at").alias("created_at"), F.max("received_at").alias("updated_at"))
-    labels = F.coalesce(given_labels(F.coalesce("g.labels", F.lit(""))), F.array().cast("array<string>"))
-    return now.where(~F.coalesce("g.deleted", F.lit(False))).select("id", "g.title", "g.description", "g.status", clean_labels(labels).alias("labels"), "g.priority", "g.progress", "g.deadline", "created_at", "updated_at")
+    fields = ("title", "description", "status", "labels", "priority", "progress", "deadline")
+    now = g.groupBy("id").agg(*[F.max_by(c, "seq").alias(c) for c in fields], F.min("received_at").alias("created_at"), F.max("received_at").alias("updated_at"), F.max_by(F.coalesce("deleted", F.lit(False)), "seq").alias("_gone"))
+    labels = F.coalesce(given_labels(F.coalesce("labels", F.lit(""))), F.array().cast("array<string>"))
+    return now.where(~F.col("_gone")).select("id", "title", "description", "status", clean_labels(labels).alias("labels"), "priority", "progress", "deadline", "created_at", "updated_at")
 
 
 def timeline(spark: SparkSession, folder: str) -> DataFrame:
