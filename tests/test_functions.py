@@ -8,9 +8,9 @@ def one(spark, value, f, schema="x string"):
 
 
 def test_labels(spark):
-    assert one(spark, [" bug ", "", "mcp", "bug", " deploy ", None], text.clean_labels, "x array<string>") == ["bug", "mcp", "deploy"]
-    assert one(spark, "bug, mcp,bug,, deploy", text.given_labels) == ["bug", "mcp", "deploy"]
-    assert one(spark, '["bug","mcp","bug"," deploy "]', text.given_labels) == ["bug", "mcp", "deploy"]
+    assert one(spark, [" bug ", "", "ops", "bug", " deploy ", None], text.clean_labels, "x array<string>") == ["bug", "ops", "deploy"]
+    assert one(spark, "bug, ops,bug,, deploy", text.given_labels) == ["bug", "ops", "deploy"]
+    assert one(spark, '["bug","ops","bug"," deploy "]', text.given_labels) == ["bug", "ops", "deploy"]
     assert one(spark, '["bug",', text.given_labels) is None
     assert one(spark, "  ", text.given_labels) == []
     assert one(spark, "nonsense", text.stored_labels) == []
