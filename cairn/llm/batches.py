@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.near import components
 from cairn.llm.words import word_list
 from cairn.operators.skew import salted_lookup
 from cairn.session import shuffle_width, stage, stage_path
@@ -109,24 +110,33 @@ def repeats(a: Counter, b: Counter, least: float, model: NameModel) -> bool:
     return True
 
 
-def _follow(least: float, model: NameModel):
-    """Rows (block, fact_id, sig, words, old) sorted by block and fact_id, to rows (block, fact_id, first_id, sig, words, old):
-    first_id is the block's first statement that the fact repeats, or its own id. Only the block's statements are held."""
+def _linked(least: float, model: NameModel):
+    """Rows (block, fact_id, first_id, sig, words) sorted by block and fact_id, first_id being null for new texts, to rows (fact_id, to, again) of new texts.
+
+    A new text is compared with every earlier text of its block, statements and variants, until it is linked with one of each statement; `to` is
+    that statement's id, or null in the one row of a text without links. again: the text itself is in the index. Only a block's texts are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, leaders = None, []
+        block, groups = None, []
         for batch in batches:
-            first = []
-            for key, fact, text, old in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
+            out: list[list] = [[], [], []]
+            for key, fact, first, sig, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != block:
-                    block, leaders = key, []
+                    block, groups = key, []
                 words = Counter(text.split(" "))
-                found = None if old else next((i for i, w in leaders if repeats(w, words, least, model)), None)
-                if found is None:
-                    found = fact
-                    leaders.append((fact, words))
-                first.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64()), batch.column(2), batch.column(3), batch.column(4)], ["block", "fact_id", "first_id", "sig", "words", "old"])
+                if first is not None:
+                    own = next((g for g in groups if g[0] == first), None)
+                    if own is None:
+                        groups.append(own := (first, []))
+                    own[1].append((sig, words))
+                    continue
+                hit = [g for g in groups if any(s == sig or repeats(w, words, least, model) for s, w in g[1])]
+                for to in [g[0] for g in hit] or [None]:
+                    out[0].append(fact), out[1].append(to), out[2].append(any(s == sig for g in hit for s, _ in g[1]))
+                if hit:
+                    groups = [g for g in groups if g not in hit]
+                groups.append((min([fact, *(g[0] for g in hit)]), [(sig, words), *(m for g in hit for m in g[1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["fact_id", "to", "again"])
 
     return run
 
@@ -141,17 +151,14 @@ class StatementIndex:
     """The index of accepted statements.
 
     Batches must come in the order of acceptance, fact ids growing. add(batch) gives (first_id, fact_id) of the batch's
-    repeats; `fact_id` repeats a statement whose smallest id is `first_id`, of the same or an earlier batch. Facts that
-    repeat nothing become statements, others are not indexed, so neither copies nor a statement's many variants make the
-    index grow or are compared with each other: each fact is compared with statements only, one pass over a sorted stream.
+    repeats: facts that repeat a fact with a smaller id, be it a statement or a variant of one. `first_id` is the smallest id
+    that the links lead to, of the same or an earlier batch. Texts of other words are all indexed; copies do not make the index grow.
 
     Keys: the set of a fact's numbers must be equal, so a fact with numbers has one key, that set. A fact without
     numbers has its rarest words as keys, as many as are needed to share one with any fact similar enough.
     Null and empty contents are no statements. Repeated rows are repeats. An empty batch changes nothing. Extra columns do not matter.
     """
 
-    ROWS = "block bigint, fact_id bigint, first_id bigint, sig bigint, words string, old boolean"
-
     def __init__(self, spark: SparkSession, similarity: float = 0.65, path: str | None = None):
         self.spark, self.least = spark, similarity
         self.path = path or stage_path(spark, "statements")
@@ -185,26 +192,34 @@ class StatementIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         self.learn(batch)
         texts = with_words(batch)
-        facts = self.keyed(texts)
         # Copies are one row before anything is shuffled or compared: the first of them stands for all.
-        rows = facts.groupBy("block", "sig").agg(F.min("fact_id").alias("fact_id"), F.first("words").alias("words")).select("block", "fact_id", "sig", "words", F.lit(False).alias("old"))
+        distinct = stage(texts.groupBy("sig").agg(F.min("fact_id").alias("fact_id"), F.first("w").alias("w")), "texts")
+        rows = self.keyed(distinct)
+        probes = rows.select("block", "fact_id", F.lit(None).cast("bigint").alias("first_id"), "sig", "words")
+        merged = None
         if self.filled:
             # Only postings under the batch's own keys; Spark broadcasts the keys if they are few, else both sides are hashed.
-            index = self.spark.read.schema("block bigint, fact_id bigint, sig bigint, words string, bucket int").parquet(self.path)
-            probes = facts.select("block").distinct().withColumn("bucket", F.pmod("block", F.lit(BUCKETS)).cast("int"))
-            known = index.join(probes, ["bucket", "block"], "left_semi")
-            rows = rows.unionByName(known.select("block", "fact_id", "sig", "words", F.lit(True).alias("old")))
-        ordered = rows.repartition(shuffle_width(self.spark), "block").sortWithinPartitions("block", "fact_id")
-        done = stage(ordered.mapInArrow(_follow(self.least, self.model), self.ROWS), "probe").where(~F.col("old"))
-        # A fact with several keys repeats the earliest statement under any of them; that may itself repeat one under another key.
-        first = done.groupBy("sig", "fact_id").agg(F.min("first_id").alias("first_id"))
-        up = first.select(F.col("fact_id").alias("first_id"), F.col("first_id").alias("up"))
-        resolved = stage(first.join(up, "first_id", "left").select("sig", F.col("fact_id").alias("stands_for"), F.coalesce("up", "first_id").alias("first_id")), "first")
-        each = salted_lookup(texts.select("fact_id", "sig"), resolved, "sig", F.col("fact_id"))
-        found = stage(each.where(F.col("first_id") != F.col("fact_id")).select("first_id", "fact_id"), "repeats")
-        new = done.join(resolved.where(F.col("first_id") == F.col("stands_for")).select(F.col("stands_for").alias("fact_id")), "fact_id", "left_semi")
-        new = new.select("block", "fact_id", "sig", "words", F.pmod("block", F.lit(BUCKETS)).cast("int").alias("bucket"))
+            index = self.spark.read.schema("block bigint, fact_id bigint, first_id bigint, sig bigint, words string, bucket int").parquet(self.path)
+            keys = rows.select("block").distinct().withColumn("bucket", F.pmod("block", F.lit(BUCKETS)).cast("int"))
+            probes = probes.unionByName(index.join(keys, ["bucket", "block"], "left_semi").drop("bucket"))
+            merged = self.spark.read.schema("a bigint, b bigint").parquet(f"{self.path}-merged")
+        ordered = probes.repartition(shuffle_width(self.spark), "block").sortWithinPartitions("block", "fact_id")
+        done = stage(ordered.mapInArrow(_linked(self.least, self.model), "fact_id bigint, to bigint, again boolean"), "probe")
+        # Links found under different keys, and statements that earlier batches showed to be one, come together.
+        links = done.where(F.col("to").isNotNull()).select(F.col("fact_id").alias("a"), F.col("to").alias("b")).distinct()
+        links = stage(links if merged is None else links.unionByName(merged), "links")
+        ids = links.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        group = stage(components(links, ids.withColumn("first", F.col("sig"))).select(F.col("sig").alias("fact_id"), "group_id"), "group")
+        state = done.groupBy("fact_id").agg(F.max(F.col("to").isNotNull()).alias("linked"), F.max("again").alias("again"))
+        resolved = distinct.select("sig", "fact_id").join(state, "fact_id").join(group, "fact_id", "left")
+        resolved = stage(resolved.select("sig", F.col("fact_id").alias("stands_for"), F.coalesce("group_id", "fact_id").alias("first_id"), "linked", "again"), "first")
+        each = salted_lookup(texts.select("fact_id", "sig"), resolved.drop("again"), "sig", F.col("fact_id"))
+        found = stage(each.where(F.col("linked") | (F.col("fact_id") != F.col("stands_for"))).select("first_id", "fact_id"), "repeats")
+        new = rows.join(resolved.where(~F.col("again")).select("sig", "first_id"), "sig")
+        new = new.select("block", "fact_id", "first_id", "sig", "words", F.pmod("block", F.lit(BUCKETS)).cast("int").alias("bucket"))
         new.repartition("bucket").sortWithinPartitions("block", "fact_id").write.mode("append").partitionBy("bucket").parquet(self.path)
+        known = group.where(F.col("fact_id") != F.col("group_id")).join(distinct.select("fact_id"), "fact_id", "left_anti")
+        known.select(F.col("fact_id").alias("a"), F.col("group_id").alias("b")).coalesce(1).write.mode("append").parquet(f"{self.path}-merged")
         self.filled = True
         return found
 

@@ -43,6 +43,14 @@ def test_the_index_goes_on_where_it_was(spark, facts):
     assert spark.read.parquet(index.path).count() == size
 
 
+def test_variants_of_variants_are_repeats(spark):
+    base = [f"w{c}" for c in "abcdefghijklmnopqrst"]
+    chain = [" ".join([*(f"z{c}" for c in "abcdefghijklmnopqrst"[:k]), *base[k:], "7"]) for k in (0, 4, 8, 12)]
+    rows = [(1 + i, i // 2, t) for i, t in enumerate(chain)] + [(9, 2, chain[3]), (10, 2, chain[0])]
+    got = repeated_facts(spark.createDataFrame(rows, "fact_id bigint, batch_id int, content string"))
+    assert {(r["first_id"], r["fact_id"]) for r in got.collect()} == {(1, 2), (1, 3), (1, 4), (1, 9), (1, 10)}
+
+
 def test_pairs():
     model = NameModel.fit([f"слово о {n} и слово".lower() for n in NAMES] + ["the queue sorts notes while the index grew past rows because team"] * 4)
     assert model.is_name("zelormund") and not model.is_name("queue") and not model.is_name("because")
