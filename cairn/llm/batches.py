@@ -25,6 +25,8 @@ from cairn.session import shuffle_width, stage, stage_path
 #: Facts from which names and word frequencies are learned, the first ones that are added.
 SAMPLE = 10_000
 BUCKETS = 32
+#: A key of more texts than this is split into groups of about so many, each pair of groups being a tile.
+HOT = 2_000
 #: Log odds from which a word counts as a name.
 SURE = 4.0
 _CYRILLIC, _LATIN = re.compile(r"[Ѐ-ӿ]"), re.compile(r"^[^\W\d_Ѐ-ӿ]{4,}$")
@@ -111,31 +113,31 @@ def repeats(a: Counter, b: Counter, least: float, model: NameModel) -> bool:
 
 
 def _linked(least: float, model: NameModel):
-    """Rows (block, fact_id, first_id, sig, words) sorted by block and fact_id, first_id being null for new texts, to rows (fact_id, to, again) of new texts.
+    """Rows (block, i, j, own, fact_id, first_id, sig, words) sorted by block, tile (i, j) and fact_id, first_id being null for new texts, to rows (fact_id, to, again) of new texts.
 
-    A new text is compared with every earlier text of its block, statements and variants, until it is linked with one of each statement; `to` is
-    that statement's id, or null in the one row of a text without links. again: the text itself is in the index. Only a block's texts are held."""
+    A new text is compared with every earlier text of its tile (in a tile of two groups, of the other group), statements and variants, until it is linked with one of each statement; `to` is
+    that statement's id, or null in the one row of a text without links. again: the text itself is in the index. Only a tile's texts are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, groups = None, []
         for batch in batches:
             out: list[list] = [[], [], []]
-            for key, fact, first, sig, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != block:
-                    block, groups = key, []
+            for key, i, j, mine, fact, first, sig, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, i, j) != block:
+                    block, groups = (key, i, j), []
                 words = Counter(text.split(" "))
                 if first is not None:
                     own = next((g for g in groups if g[0] == first), None)
                     if own is None:
                         groups.append(own := (first, []))
-                    own[1].append((sig, words))
+                    own[1].append((sig, words, mine))
                     continue
-                hit = [g for g in groups if any(s == sig or repeats(w, words, least, model) for s, w in g[1])]
+                hit = [g for g in groups if any((i == j or m != mine) and (s == sig or repeats(w, words, least, model)) for s, w, m in g[1])]
                 for to in [g[0] for g in hit] or [None]:
-                    out[0].append(fact), out[1].append(to), out[2].append(any(s == sig for g in hit for s, _ in g[1]))
+                    out[0].append(fact), out[1].append(to), out[2].append(any(s == sig for g in hit for s, _, _ in g[1]))
                 if hit:
                     groups = [g for g in groups if g not in hit]
-                groups.append((min([fact, *(g[0] for g in hit)]), [(sig, words), *(m for g in hit for m in g[1])]))
+                groups.append((min([fact, *(g[0] for g in hit)]), [(sig, words, mine), *(m for g in hit for m in g[1])]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["fact_id", "to", "again"])
 
     return run
@@ -147,6 +149,14 @@ def with_words(batch: DataFrame) -> DataFrame:
     return facts.withColumn("sig", F.xxhash64(F.array_sort("w")))
 
 
+def split_hot(rows: DataFrame) -> DataFrame:
+    """rows with columns i, j, own: those of a block of more than HOT rows are in groups by sig, each group in a tile with itself and with every other one."""
+    hot = rows.groupBy("block").count().where(F.col("count") > HOT).select("block", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+    rows = rows.join(hot, "block", "left").withColumn("own", F.pmod("sig", F.coalesce("parts", F.lit(1))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other", "parts")
+
+
 class StatementIndex:
     """The index of accepted statements.
 
@@ -154,8 +164,8 @@ class StatementIndex:
     repeats: facts that repeat a fact with a smaller id, be it a statement or a variant of one. `first_id` is the smallest id
     that the links lead to, of the same or an earlier batch. Texts of other words are all indexed; copies do not make the index grow.
 
-    Keys: the set of a fact's numbers must be equal, so a fact with numbers has one key, that set. A fact without
-    numbers has its rarest words as keys, as many as are needed to share one with any fact similar enough.
+    Keys: a fact's rarest words, as many as are needed to share one with any fact similar enough, each together with the
+    set of its numbers, which must be equal. Numbers come last in the order of words, as that set already tells them.
     Null and empty contents are no statements. Repeated rows are repeats. An empty batch changes nothing. Extra columns do not matter.
     """
 
@@ -181,12 +191,13 @@ class StatementIndex:
 
     def keyed(self, facts: DataFrame) -> DataFrame:
         """block, fact_id, sig, words: each fact of with_words() under each of its keys."""
-        facts = facts.withColumn("numbers", F.array_sort(F.array_distinct(F.filter("w", lambda x: x.rlike(r"^\p{N}+$")))))
+        number = lambda x: x.rlike(r"^\p{N}+$")
+        facts = facts.withColumn("numbers", F.array_sort(F.array_distinct(F.filter("w", number))))
         rank = F.create_map(*[F.lit(x) for kv in self.common for x in kv]) if self.common else F.create_map(F.lit(""), F.lit(0))
-        ordered = F.array_sort(F.transform("w", lambda x: F.struct(F.coalesce(F.try_element_at(rank, x), F.lit(0)).alias("n"), x.alias("x"))))
+        order = lambda x: F.when(number(x), F.lit(2**31 - 1)).otherwise(F.coalesce(F.try_element_at(rank, x), F.lit(0)))
+        ordered = F.array_sort(F.transform("w", lambda x: F.struct(order(x).alias("n"), x.alias("x"))))
         need = F.size("w") - F.ceil(F.size("w") * F.lit(self.least) - 1e-9).cast("int") + 1
-        prefix = F.array_distinct(F.transform(F.slice(ordered, F.lit(1), need), lambda s: F.xxhash64(s["x"])))
-        keys = F.when(F.size("numbers") > 0, F.array(F.xxhash64("numbers"))).otherwise(prefix)
+        keys = F.array_distinct(F.transform(F.slice(ordered, F.lit(1), need), lambda s: F.xxhash64(s["x"], "numbers")))
         return facts.select(F.explode(keys).alias("block"), "fact_id", "sig", F.array_join("w", " ").alias("words"))
 
     def add(self, batch: DataFrame) -> DataFrame:
@@ -203,7 +214,8 @@ class StatementIndex:
             keys = rows.select("block").distinct().withColumn("bucket", F.pmod("block", F.lit(BUCKETS)).cast("int"))
             probes = probes.unionByName(index.join(keys, ["bucket", "block"], "left_semi").drop("bucket"))
             merged = self.spark.read.schema("a bigint, b bigint").parquet(f"{self.path}-merged")
-        ordered = probes.repartition(shuffle_width(self.spark), "block").sortWithinPartitions("block", "fact_id")
+        tiles = ["block", "i", "j"]
+        ordered = split_hot(probes).repartition(shuffle_width(self.spark), *tiles).sortWithinPartitions(*tiles, "fact_id").select(*tiles, "own", "fact_id", "first_id", "sig", "words")
         done = stage(ordered.mapInArrow(_linked(self.least, self.model), "fact_id bigint, to bigint, again boolean"), "probe")
         # Links found under different keys, and statements that earlier batches showed to be one, come together.
         links = done.where(F.col("to").isNotNull()).select(F.col("fact_id").alias("a"), F.col("to").alias("b")).distinct()

@@ -51,6 +51,16 @@ def test_variants_of_variants_are_repeats(spark):
     assert {(r["first_id"], r["fact_id"]) for r in got.collect()} == {(1, 2), (1, 3), (1, 4), (1, 9), (1, 10)}
 
 
+def test_one_number_in_all_facts_is_no_single_block(spark, monkeypatch):
+    import cairn.llm.batches as batches
+
+    rows = [(i + 1, i // 40, f"w{i % 60}a w{i % 60}b w{i % 60}c w{i % 60}d {'x' if i < 60 else 'y'} 2026") for i in range(80)]
+    facts = spark.createDataFrame(rows, "fact_id bigint, batch_id int, content string")
+    assert max(r["count"] for r in StatementIndex(spark).keyed(batches.with_words(facts)).groupBy("block").count().collect()) <= 2
+    monkeypatch.setattr(batches, "HOT", 1)
+    assert {(r["first_id"], r["fact_id"]) for r in repeated_facts(facts).collect()} == {(i, i + 60) for i in range(1, 21)}
+
+
 def test_pairs():
     model = NameModel.fit([f"слово о {n} и слово".lower() for n in NAMES] + ["the queue sorts notes while the index grew past rows because team"] * 4)
     assert model.is_name("zelormund") and not model.is_name("queue") and not model.is_name("because")
