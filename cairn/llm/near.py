@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cairn.llm.words import token_rows
 from cairn.session import shuffle_width, stage
 
-BANDS, ROWS = 24, 8
+BANDS, ROWS = 60, 6
 #: Shingles in fewer than this share of the texts all weigh as if in that share: the dictionary of the others
 #: has at most mean-shingles-per-text / share entries, whatever the number of texts.
 RARE_SHARE = 1e-3

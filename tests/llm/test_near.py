@@ -43,6 +43,14 @@ def test_recall_and_exactness(spark):
     assert len(got) >= 0.9 * len(wanted) > 20
 
 
+def test_pairs_near_the_threshold_are_found(spark):
+    rows = [(2 * i + k, " ".join(f"p{i}w{j}" for j in range(4 * k, 20 + 4 * k))) for i in range(60) for k in (0, 1)]
+    wanted = brute(rows, 0.65)
+    got = {(r["a"], r["b"]) for r in NearDuplicates(frame(spark, rows), 0.65, 1).pairs().collect()}
+    assert len(wanted) == 60 and got <= wanted
+    assert len(got) >= 36, len(got)
+
+
 def test_shingles_of_five(spark):
     base = " ".join(WORDS[:60])
     rows = [(1, base), (2, base + " w399"), (3, " ".join(reversed(base.split()))), (4, "w1 w2")]
