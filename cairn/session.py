@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -54,17 +56,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder; later plans start from those files."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """`df` written as a parquet table in the shared folder and read again.
 
-    Cuts the lineage like a checkpoint, but compressed, columnar and with statistics. The folder goes when the
-    driver ends. Losing an executor after the write costs nothing.
+    Cuts the lineage like a checkpoint, but compressed, columnar and with statistics. Losing an executor after the
+    write costs nothing. The folder goes with the Scratch it was made in, else when the driver ends.
     """
     path = stage_path(df.sparkSession, name)
     w = df.write.mode("errorifexists")
@@ -77,12 +73,36 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
     return path
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as one of its own."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+class Scratch:
+    """Staged tables that are deleted together, by drop(): the ones that only a step's own jobs read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = stage_path(self.spark, name)
+        self.paths.append(path)
+        df.write.mode("errorifexists").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            fs, p = file_system(self.spark, path)
+            fs.delete(p, True)
+        self.paths = []
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -93,7 +113,9 @@ def ship_package(spark: SparkSession) -> None:
         return
     _SHIPPED.add(sc.applicationId)
     root = os.path.dirname(os.path.abspath(__file__))
-    at = os.path.join(tempfile.mkdtemp(prefix="cairn-"), "cairn.zip")
+    made = tempfile.mkdtemp(prefix="cairn-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    at = os.path.join(made, "cairn.zip")
     with zipfile.ZipFile(at, "w") as z:
         for folder, _, files in sorted(os.walk(root)):
             for name in sorted(files):
@@ -107,4 +129,4 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["build_session", "checkpoint_dir", "cut", "ship_package", "stage", "stage_path", "shuffle_width"]
+__all__ = ["Scratch", "build_session", "checkpoint_dir", "file_system", "ship_package", "stage", "stage_path", "shuffle_width"]
