@@ -1,78 +1,73 @@
 """Duplicates of new batches against all history, without reprocessing it (problem 5).
 
-An inverted index holds postings of accepted facts: keys of rare-token prefixes, with the text they verify. A batch
-probes the index with its own prefix keys; only postings under those keys are looked at. Its new statements are then
-appended. The index is a parquet folder partitioned by key, so it outlives the session and may be opened again.
+An inverted index holds postings of accepted statements: each under its rarest tokens, as many as it needs to share one
+with any text similar enough. A batch probes the index with its own prefixes: only the files that hold its tokens are
+read, lengths are filtered in the join, the overlap is verified, and postings of new statements are appended.
+
+The index is a folder: runs of postings and of word statistics, partitioned by token, the order of tokens, a letter model of
+names, and a manifest that names them. It can be closed and opened again at any time; a batch counts once its manifest stands.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.near import components
-from cairn.llm.words import word_list
-from cairn.operators.skew import salted_lookup
-from cairn.session import shuffle_width, stage, stage_path
+from cairn.llm.near import spread
+from cairn.session import Scratch, file_system, shuffle_width, stage, stage_path
 
-#: Facts from which names and word frequencies are learned, the first ones that are added.
-SAMPLE = 10_000
-BUCKETS = 32
+#: Tokens hash to so many slots, by which runs are partitioned; a run of few rows has fewer buckets, of about PER_BUCKET rows.
+SLOTS, PER_BUCKET = 1 << 16, 200_000
+#: Runs of about the same size (within this factor) that are merged once there are so many.
+FAN = 4
 #: A key of more texts than this is split into groups of about so many, each pair of groups being a tile.
 HOT = 2_000
-#: Log odds from which a word counts as a name.
-SURE = 4.0
+#: Log odds of a word's letters from which it counts as a name; and the slots that letter groups hash to.
+SURE, DIMENSIONS = 4.0, 1 << 14
+#: Words seen as names by their script that the letter model needs; with fewer, capitals within sentences tell.
+LEAST_NAMES = 20
+
+_WORD = re.compile(r"[^\W_]+")
 _CYRILLIC, _LATIN = re.compile(r"[Ѐ-ӿ]"), re.compile(r"^[^\W\d_Ѐ-ӿ]{4,}$")
+TEXT = "fact_id bigint, words array<string>, inside array<tinyint>, mixed boolean"
+WORDS = "word string, n bigint, mixed bigint, small bigint, big bigint"
+POSTING = "block bigint, n int, fact_id bigint, first_id bigint, sig bigint, words string, names string"
 
 
-def _grams(word: str) -> list[str]:
-    return [f"^{word[:2]}", f"^{word[:3]}", f"^{word[:4]}", f"{word[-2:]}$", f"{word[-3:]}$", f"{word[-4:]}$", *(word[i : i + 3] for i in range(len(word) - 2))]
+def grams(word: str) -> list[int]:
+    """Hashed beginnings, ends and trigrams of a word."""
+    parts = {f"^{word[:2]}", f"^{word[:3]}", f"^{word[:4]}", f"{word[-2:]}$", f"{word[-3:]}$", f"{word[-4:]}$", *(word[i : i + 3] for i in range(len(word) - 2))}
+    return [zlib.crc32(g.encode()) % DIMENSIONS for g in sorted(parts)]
 
 
-class NameModel:
-    """Tells invented names from the words of the languages by their letters.
+def letter_weights(counts: list[tuple[int, int, int]], names: int, plain: int) -> np.ndarray:
+    """Naive Bayes: the log odds of each slot of letter groups, from (slot, names with it, plain words with it) rows."""
+    w = np.full(DIMENSIONS, math.log(0.5 / (names + 2)) - math.log(0.5 / (plain + 2)), np.float32)
+    for slot, a, b in counts:
+        w[slot] = math.log((a + 0.5) / (names + 2)) - math.log((b + 0.5) / (plain + 2))
+    return w
 
-    Naive Bayes over beginnings, ends and trigrams. Names are known without labels where scripts differ: Latin words
-    inside Cyrillic texts. Words seen three times or more in Latin texts, but never in Cyrillic ones, are words.
-    """
 
-    def __init__(self, weights: dict[str, float], unseen: float, words: frozenset[str] = frozenset()):
-        self.weights, self.unseen, self.words = weights, unseen, words
-        self.is_name = lru_cache(maxsize=200_000)(self._is_name)
-
-    def __getstate__(self):
-        return self.weights, self.unseen, self.words
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    @classmethod
-    def fit(cls, texts: list[str]) -> NameModel:
-        """texts: words between blanks."""
-        names, words = Counter(), Counter()
-        for joined in texts:
-            text = joined.split(" ")
-            mixed = sum(bool(_CYRILLIC.search(w)) for w in text) * 2 > len(text)
-            for w in set(text):
-                if _LATIN.match(w):
-                    (names if mixed else words)[w] += 1
-        plain = {w for w, n in words.items() if n >= 3 and not names[w]}
-        a, b = Counter(g for w in names for g in set(_grams(w))), Counter(g for w in plain for g in set(_grams(w)))
-        na, nb = len(names) + 2, len(plain) + 2
-        weights = {g: float(np.log((a[g] + 0.5) / na) - np.log((b[g] + 0.5) / nb)) for g in a.keys() | b.keys()}
-        return cls(weights, 0.0, frozenset(sorted(plain)[:50_000]))
-
-    def _is_name(self, word: str) -> bool:
-        if word in self.words or not self.weights or not _LATIN.match(word):
-            return False
-        return sum(self.weights.get(g, self.unseen) for g in _grams(word)) > SURE
+def is_name(word: str, mixed: int, small: int, big: int, weights: np.ndarray | None) -> bool:
+    """Whether a word is an invented name, by where all accepted texts have it, else by its letters.
+
+    mixed: Cyrillic texts that have it; small, big: texts that have it within a sentence in small letters, with a capital.
+    Words that are mostly small are none, other Latin words in Cyrillic texts are; of the rest the letters decide.
+    """
+    if not _LATIN.match(word) or small > big:
+        return False
+    if mixed > small:
+        return True
+    return weights is not None and float(weights[grams(word)].sum()) > SURE
 
 
 def close(a: str, b: str, most: int = 2) -> bool:
@@ -91,10 +86,10 @@ def close(a: str, b: str, most: int = 2) -> bool:
     return row[-1] <= most
 
 
-def repeats(a: Counter, b: Counter, least: float, model: NameModel) -> bool:
+def repeats(a: Counter, b: Counter, names: frozenset[str], least: float) -> bool:
     """Whether two word counts say the same: similar enough, with the same numbers and the same names.
 
-    A word on one side only is another name if it looks like one, unless the other side has a plain word of nearly the same letters.
+    names: the names of both. A name on one side only is another name, unless the other side has a plain word of nearly the same letters.
     """
     na, nb = a.total(), b.total()
     if min(na, nb) < least * max(na, nb) - 1e-9:
@@ -107,13 +102,77 @@ def repeats(a: Counter, b: Counter, least: float, model: NameModel) -> bool:
         return False
     for mine, other in ((left, right), (right, left)):
         for w in mine:
-            if model.is_name(w) and not any(not model.is_name(o) and close(w, o) for o in other):
+            if w in names and not any(o not in names and close(w, o) for o in other):
                 return False
     return True
 
 
-def _linked(least: float, model: NameModel):
-    """Rows (block, i, j, own, fact_id, first_id, sig, words) sorted by block, tile (i, j) and fact_id, first_id being null for new texts, to rows (fact_id, to, again) of new texts.
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each text, lower-cased, and how each stands in it: 1 in small letters, 2 with a capital, 0 at a sentence's start or in a text of one case."""
+    for batch in batches:
+        ids, words, inside, mixed = [], [], [], []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = list(_WORD.finditer(text))
+            own = [m[0].lower() for m in found]
+            if not own:
+                continue
+            cased = text.lower() != text and text.upper() != text
+            how, end = [], 0
+            for k, m in enumerate(found):
+                starts = k == 0 or any(c in ".!?:\n" for c in text[end : m.start()])
+                how.append(0 if starts or not cased else 2 if m[0][0].isupper() else 1)
+                end = m.end()
+            ids.append(i), words.append(own), inside.append(how)
+            mixed.append(sum(bool(_CYRILLIC.search(w)) for w in own) * 2 > len(own))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(inside, pa.list_(pa.int8())), pa.array(mixed, pa.bool_())], ["fact_id", "words", "inside", "mixed"]
+        )
+
+
+def with_words(batch: DataFrame) -> DataFrame:
+    """TEXT rows of the facts with a word at least; sig is the same for facts of the same words."""
+    facts = batch.where(F.col("content").isNotNull() & F.col("fact_id").isNotNull()).select(F.col("fact_id").cast("bigint").alias("fact_id"), "content")
+    return facts.mapInArrow(_texts, TEXT).withColumn("sig", F.xxhash64(F.array_sort("words")))
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """WORDS of texts: in how many texts each word is, how many of them are Cyrillic, and how it stands within their sentences."""
+    each = texts.select("mixed", F.explode(F.array_distinct(F.arrays_zip("words", "inside"))).alias("x")).select("mixed", F.col("x.words").alias("word"), F.col("x.inside").alias("k"))
+    count = lambda c: F.sum(c.cast("bigint"))
+    # A word that stands in a text in several ways counts for each; n may count it more than once, which only orders words.
+    return each.groupBy("word").agg(F.count("*").alias("n"), count(F.col("mixed")).alias("mixed"), count(F.col("k") == 1).alias("small"), count(F.col("k") == 2).alias("big"))
+
+
+def _letters(by_case: bool):
+    """Rows (slot, names, plain) of a batch of WORDS, and one with slot -1 for the numbers of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = Counter(), Counter()
+            for word, n, mixed, small, big in zip(*(c.to_pylist() for c in batch.columns)):
+                if not _LATIN.match(word):
+                    continue
+                if (big > 1 and not small) if by_case else mixed > small:
+                    a.update([*grams(word), -1])
+                elif n > 2 and small > big and not mixed:
+                    b.update([*grams(word), -1])
+            slots = sorted(a.keys() | b.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array([a[s] for s in slots], pa.int64()), pa.array([b[s] for s in slots], pa.int64())], ["slot", "names", "plain"])
+
+    return run
+
+
+def _judged(weights: np.ndarray | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [is_name(w, m, s, b, weights) for w, m, s, b in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.bool_())], ["word", "rank", "name"])
+
+    return run
+
+
+def _linked(least: float):
+    """Rows (block, i, j, own, fact_id, first_id, sig, words, names) sorted by block, tile (i, j) and fact_id, first_id being null for new texts, to rows (fact_id, to, again) of new texts.
 
     A new text is compared with every earlier text of its tile (in a tile of two groups, of the other group), statements and variants, until it is linked with one of each statement; `to` is
     that statement's id, or null in the one row of a text without links. again: the text itself is in the index. Only a tile's texts are held."""
@@ -122,33 +181,27 @@ def _linked(least: float, model: NameModel):
         block, groups = None, []
         for batch in batches:
             out: list[list] = [[], [], []]
-            for key, i, j, mine, fact, first, sig, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, i, j, mine, fact, first, sig, text, named in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, i, j) != block:
                     block, groups = (key, i, j), []
-                words = Counter(text.split(" "))
+                words, names = Counter(text.split(" ")), frozenset(named.split(" "))
                 if first is not None:
                     own = next((g for g in groups if g[0] == first), None)
                     if own is None:
                         groups.append(own := (first, []))
-                    own[1].append((sig, words, mine))
+                    own[1].append((sig, words, names, mine))
                     continue
-                hit = [g for g in groups if any((i == j or m != mine) and (s == sig or repeats(w, words, least, model)) for s, w, m in g[1])]
+                hit = [g for g in groups if any((i == j or m != mine) and (s == sig or repeats(w, words, k | names, least)) for s, w, k, m in g[1])]
                 for to in [g[0] for g in hit] or [None]:
-                    out[0].append(fact), out[1].append(to), out[2].append(any(s == sig for g in hit for s, _, _ in g[1]))
+                    out[0].append(fact), out[1].append(to), out[2].append(any(s == sig for g in hit for s, *_ in g[1]))
                 if hit:
                     groups = [g for g in groups if g not in hit]
-                groups.append((min([fact, *(g[0] for g in hit)]), [(sig, words, mine), *(m for g in hit for m in g[1])]))
+                groups.append((min([fact, *(g[0] for g in hit)]), [(sig, words, names, mine), *(m for g in hit for m in g[1])]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["fact_id", "to", "again"])
 
     return run
 
 
-def with_words(batch: DataFrame) -> DataFrame:
-    """fact_id, w (words), sig (the same for facts of the same words) of facts with a word at least."""
-    facts = batch.select(F.col("fact_id").cast("bigint").alias("fact_id"), word_list(F.col("content")).alias("w")).where(F.size("w") > 0)
-    return facts.withColumn("sig", F.xxhash64(F.array_sort("w")))
-
-
 def split_hot(rows: DataFrame) -> DataFrame:
     """rows with columns i, j, own: those of a block of more than HOT rows are in groups by sig, each group in a tile with itself and with every other one."""
     hot = rows.groupBy("block").count().where(F.col("count") > HOT).select("block", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
@@ -157,88 +210,257 @@ def split_hot(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other", "parts")
 
 
+class Runs:
+    """Tables of a folder that grow by runs, partitioned by the slot of a key, so that a look-up reads the files of its keys' slots only.
+
+    A run of few rows has few buckets, a large one up to SLOTS. Runs of about one size are merged, so a row is rewritten as often as
+    the logarithm of the table's size, and the number of runs stays logarithmic too.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str, order: list[str], runs: list[dict], per_bucket: int = PER_BUCKET):
+        self.spark, self.path, self.key, self.schema, self.order, self.runs, self.per = spark, path, key, schema, order, runs, per_bucket
+        self.files: list[str] = []
+
+    def _slot(self):
+        key = F.col(self.key) if self.schema.split(" ")[1].startswith("bigint") else F.xxhash64(self.key)
+        return F.pmod(key, F.lit(SLOTS)).cast("int")
+
+    def write(self, rows: DataFrame, name: str, most: int) -> list[dict]:
+        """`rows`, of which there are `most` or fewer, as a run: what the manifest says of it, or nothing for no rows."""
+        buckets = min(SLOTS, 1 << max(0, math.ceil(math.log2(max(1, most) / self.per))))
+        seen = Observation()
+        out = rows.observe(seen, F.count(F.lit(1)).alias("rows")).select("*", F.pmod(self._slot(), F.lit(buckets)).alias("bucket"))
+        # Rebalanced by size: a bucket that a hot key fills is written by several tasks.
+        out.hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        fs, p = file_system(self.spark, f"{self.path}/{name}")
+        held = sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(p) if x.isDirectory())
+        return [{"name": name, "rows": seen.get["rows"], "buckets": buckets, "held": held}] if held else []
+
+    def read(self, slots: set[int] | None = None) -> DataFrame:
+        """The rows of the given slots' buckets, or all."""
+        self.files = [f"{self.path}/{r['name']}/bucket={b}" for r in self.runs for b in (r["held"] if slots is None else sorted({s % r["buckets"] for s in slots} & set(r["held"])))]
+        if not self.files:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*self.files)
+
+    def read_for(self, rows: DataFrame) -> DataFrame:
+        """The rows of the buckets that may hold the keys of `rows`."""
+        if all(r["buckets"] == 1 for r in self.runs):
+            return self.read()
+        return self.read({r["slot"] for r in rows.select(self._slot().alias("slot")).distinct().collect()})  # SLOTS rows at most
+
+    def merged(self, merge, name: str) -> list[dict]:
+        """The runs after those of one size class, if there are FAN of them, became one; merge: what to do to their rows."""
+        kind = lambda r: int(math.log(max(1, r["rows"] / 1000), FAN))
+        runs = list(self.runs)
+        for k in sorted({kind(r) for r in runs}):
+            same = [r for r in runs if kind(r) == k]
+            if len(same) >= FAN:
+                part = Runs(self.spark, self.path, self.key, self.schema, self.order, same, self.per)
+                runs = [r for r in runs if r not in same] + part.write(merge(part.read()), f"{name}-{k}", sum(r["rows"] for r in same))
+        return runs
+
+
 class StatementIndex:
-    """The index of accepted statements.
+    """The index of accepted statements, in a folder that may hold one already.
 
     Batches must come in the order of acceptance, fact ids growing. add(batch) gives (first_id, fact_id) of the batch's
     repeats: facts that repeat a fact with a smaller id, be it a statement or a variant of one. `first_id` is the smallest id
     that the links lead to, of the same or an earlier batch. Texts of other words are all indexed; copies do not make the index grow.
 
-    Keys: a fact's rarest words, as many as are needed to share one with any fact similar enough, each together with the
-    set of its numbers, which must be equal. Numbers come last in the order of words, as that set already tells them.
+    A fact's prefix: its rarest tokens in one fixed order, numbers and names being tokens like others, so many that two facts
+    similar enough share one. Its key is the token with the fact's set of numbers, which must be equal. The order is made of the
+    counts of all words accepted so far, learned with the first batch and again whenever the statements have doubled; then
+    all postings are keyed anew, which costs each statement a constant number of times.
+
     Null and empty contents are no statements. Repeated rows are repeats. An empty batch changes nothing. Extra columns do not matter.
+    A batch that fails half-way leaves the manifest, and so the index, as it was; it may be added again.
     """
 
-    def __init__(self, spark: SparkSession, similarity: float = 0.65, path: str | None = None):
-        self.spark, self.least = spark, similarity
-        self.path = path or stage_path(spark, "statements")
-        self.model = NameModel({}, 0.0)
-        self.sample: list[str] = []
-        self.common: list[tuple[str, int]] = []
-        self.filled = False
-
-    def learn(self, batch: DataFrame) -> None:
-        """Learn names from the first SAMPLE facts that were added, and from the first batch the order of words, which stays."""
-        room = SAMPLE - len(self.sample)
-        if room <= 0:
-            return
-        rows = batch.where(F.col("content").isNotNull()).orderBy("fact_id").limit(room).select(F.array_join(word_list(F.col("content")), " ").alias("w")).collect()
-        self.sample += [r["w"] for r in rows]
-        self.model = NameModel.fit(self.sample)
-        if not self.filled:
-            seen = Counter(w for t in self.sample for w in set(t.split(" ")))
-            self.common = sorted((w, n) for w, n in seen.items() if n * 1000 >= max(len(self.sample), 2000))
-
-    def keyed(self, facts: DataFrame) -> DataFrame:
-        """block, fact_id, sig, words: each fact of with_words() under each of its keys."""
-        number = lambda x: x.rlike(r"^\p{N}+$")
-        facts = facts.withColumn("numbers", F.array_sort(F.array_distinct(F.filter("w", number))))
-        rank = F.create_map(*[F.lit(x) for kv in self.common for x in kv]) if self.common else F.create_map(F.lit(""), F.lit(0))
-        order = lambda x: F.when(number(x), F.lit(2**31 - 1)).otherwise(F.coalesce(F.try_element_at(rank, x), F.lit(0)))
-        ordered = F.array_sort(F.transform("w", lambda x: F.struct(order(x).alias("n"), x.alias("x"))))
-        need = F.size("w") - F.ceil(F.size("w") * F.lit(self.least) - 1e-9).cast("int") + 1
-        keys = F.array_distinct(F.transform(F.slice(ordered, F.lit(1), need), lambda s: F.xxhash64(s["x"], "numbers")))
-        return facts.select(F.explode(keys).alias("block"), "fact_id", "sig", F.array_join("w", " ").alias("words"))
+    def __init__(self, spark: SparkSession, path: str | None = None, similarity: float = 0.65, per_bucket: int = PER_BUCKET):
+        self.spark, self.least, self.per = spark, similarity, per_bucket
+        self.path = (path or stage_path(spark, "statements")).rstrip("/")
+        self.state = {"version": 0, "similarity": similarity, "learned": 0, "postings": [], "words": [], "order": [], "letters": None, "merged": []}
+        fs, p = file_system(spark, self.path)
+        if fs.exists(p):
+            kept = [s.getPath() for s in fs.listStatus(p) if re.fullmatch(r"manifest-\d+\.json", s.getPath().getName())]
+            if kept:
+                last = max(kept, key=lambda x: int(re.findall(r"\d+", x.getName())[0]))
+                stream = fs.open(last)
+                self.state = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                stream.close()
+        if self.state["similarity"] != similarity:
+            raise ValueError(f"the index holds prefixes for a similarity of {self.state['similarity']}")
+        self.weights = self._read_letters()
+        self.read_files: list[str] = []
+
+    # What the folder holds.
+
+    def _commit(self, state: dict) -> None:
+        """A new manifest beside the old one; it holds from the moment it has its name."""
+        state["version"] = self.state["version"] + 1
+        fs, made = file_system(self.spark, f"{self.path}/manifest-{state['version']}.tmp")
+        out = fs.create(made, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        fs.rename(made, file_system(self.spark, f"{self.path}/manifest-{state['version']}.json")[1])
+        before, self.state = self.state, state
+        fs.delete(file_system(self.spark, f"{self.path}/manifest-{before['version']}.json")[1], False)
+        names = lambda s: {r["name"] for k in ("postings", "words", "order") for r in s[k]} | {*s["merged"], s["letters"]}
+        for gone in names(before) - names(state) - {None}:
+            fs.delete(file_system(self.spark, f"{self.path}/{gone}")[1], True)
+
+    def postings(self, state: dict | None = None) -> Runs:
+        return Runs(self.spark, self.path, "block", POSTING, ["block", "fact_id"], (state or self.state)["postings"], self.per)
+
+    def words(self, state: dict | None = None) -> Runs:
+        return Runs(self.spark, self.path, "word", WORDS, ["word"], (state or self.state)["words"], self.per)
+
+    def order(self, state: dict | None = None) -> Runs:
+        return Runs(self.spark, self.path, "word", "word string, rank bigint", ["word"], (state or self.state)["order"], self.per)
+
+    def _read_letters(self) -> np.ndarray | None:
+        if not self.state["letters"]:
+            return None
+        rows = self.spark.read.schema("slot int, weight float").parquet(f"{self.path}/{self.state['letters']}").collect()  # DIMENSIONS rows
+        w = np.zeros(DIMENSIONS, np.float32)
+        w[[r["slot"] for r in rows]] = [r["weight"] for r in rows]
+        return w
+
+    # What is learned of all accepted texts.
+
+    def _learn(self, state: dict) -> None:
+        """The order of words and the letter model from the counts of all accepted texts."""
+        name = f"v{self.state['version'] + 1}"
+        counts = self.words(state).read().groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "mixed", "small", "big")])
+        state["order"] = self.order(state).write(counts.where(F.col("n") > 1).select("word", F.col("n").alias("rank")), f"order-{name}", sum(r["rows"] for r in state["words"]))
+        for by_case in (False, True):
+            slots = counts.mapInArrow(_letters(by_case), "slot int, names bigint, plain bigint").groupBy("slot").agg(F.sum("names").alias("names"), F.sum("plain").alias("plain"))
+            found = [tuple(r) for r in slots.collect()]  # DIMENSIONS rows at most
+            names, plain = next(((a, b) for s, a, b in found if s == -1), (0, 0))
+            if names >= LEAST_NAMES or by_case:
+                break
+        state["letters"], self.weights = None, None
+        if names and plain:
+            self.weights = letter_weights([r for r in found if r[0] >= 0], names, plain)
+            state["letters"] = f"letters-{name}"
+            table = self.spark.createDataFrame(list(enumerate(self.weights.tolist())), "slot int, weight float")
+            table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{state['letters']}")
+
+    def keyed(self, texts: DataFrame, state: dict | None = None) -> DataFrame:
+        """The other columns of texts (sig, words, ...), with n, words, names (joined by blanks) and keys: those of the text's prefix."""
+        state, rest = state or self.state, [c for c in texts.columns if c not in ("sig", "words")]
+        each = texts.select("sig", *rest, F.explode("words").alias("word"))
+        own = each.select("word").distinct()
+        # Every word of these texts with its place in the order and what is known of it: counts of all accepted texts, this batch included.
+        counts = self.words(state).read_for(own).withColumn("rank", F.lit(0).cast("bigint"))
+        order = self.order(state).read_for(own).select("word", *[F.lit(0).cast("bigint").alias(c) for c in ("n", "mixed", "small", "big")], "rank")
+        known = counts.unionByName(order).join(own, "word", "left_semi").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("rank", "mixed", "small", "big")])
+        judged = known.mapInArrow(_judged(self.weights), "word string, rank bigint, name boolean")
+        # Words that many texts hold make large partitions of (sig, word) rows; adaptive execution splits those.
+        met = each.join(judged, "word", "left")
+        one = F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), "word", F.coalesce("name", F.lit(False)).alias("name"))
+        rows = met.groupBy("sig", *rest).agg(F.sort_array(F.collect_list(one)).alias("w"))
+        n = F.size("w")
+        need = n - F.ceil(n * F.lit(self.least) - 1e-9).cast("int") + 1
+        word = lambda s: s["word"]
+        rows = rows.withColumn("numbers", F.array_sort(F.array_distinct(F.filter(F.transform("w", word), lambda x: x.rlike(r"^\p{N}+$")))))
+        return rows.select(
+            "sig", *rest, n.alias("n"), F.array_join(F.transform("w", word), " ").alias("words"), F.array_join(F.array_distinct(F.transform(F.filter("w", lambda s: s["name"]), word)), " ").alias("names"),
+            F.array_distinct(F.transform(F.slice("w", F.lit(1), need), lambda s: F.xxhash64(s["word"], "numbers"))).alias("keys"),
+        )
+
+    # Batches.
 
     def add(self, batch: DataFrame) -> DataFrame:
-        self.learn(batch)
-        texts = with_words(batch)
+        scratch = Scratch(self.spark)
+        try:
+            return self._add(batch, scratch)
+        except Exception:
+            self.weights = self._read_letters()
+            raise
+        finally:
+            scratch.drop()
+
+    def _add(self, batch: DataFrame, scratch: Scratch) -> DataFrame:
+        state = json.loads(json.dumps(self.state))
+        name = f"v{self.state['version'] + 1}"
+        texts, seen = with_words(batch), Observation()
         # Copies are one row before anything is shuffled or compared: the first of them stands for all.
-        distinct = stage(texts.groupBy("sig").agg(F.min("fact_id").alias("fact_id"), F.first("w").alias("w")), "texts")
-        rows = self.keyed(distinct)
-        probes = rows.select("block", "fact_id", F.lit(None).cast("bigint").alias("first_id"), "sig", "words")
-        merged = None
-        if self.filled:
-            # Only postings under the batch's own keys; Spark broadcasts the keys if they are few, else both sides are hashed.
-            index = self.spark.read.schema("block bigint, fact_id bigint, first_id bigint, sig bigint, words string, bucket int").parquet(self.path)
-            keys = rows.select("block").distinct().withColumn("bucket", F.pmod("block", F.lit(BUCKETS)).cast("int"))
-            probes = probes.unionByName(index.join(keys, ["bucket", "block"], "left_semi").drop("bucket"))
-            merged = self.spark.read.schema("a bigint, b bigint").parquet(f"{self.path}-merged")
+        one = F.min_by(F.struct("fact_id", "words", "inside", "mixed"), "fact_id").alias("one")
+        distinct = scratch.stage(texts.groupBy("sig").agg(one).select("sig", "one.*").observe(seen, F.sum(F.size("words")).alias("words")), "distinct")
+        most = seen.get["words"] or 0
+        if not most:
+            return self.spark.createDataFrame([], "first_id bigint, fact_id bigint")
+        state["words"] += self.words(state).write(word_counts(distinct), f"words-{name}", most)
+        if not state["postings"]:
+            self._learn(state)
+        keyed, seen = self.keyed(distinct.select("sig", "fact_id", "words"), state), Observation()
+        rows = scratch.stage(keyed.observe(seen, F.sum(F.size("keys")).alias("keys")), "keys")
+        most = seen.get["keys"]
+        rows = rows.select(F.explode("keys").alias("block"), "n", "fact_id", "sig", "words", "names")
+        found, new = self._probe(texts.select("fact_id", "sig"), distinct, rows, scratch, state, name)
+        held = sum(r["rows"] for r in state["postings"])
+        if state["learned"] and held + most >= 2 * state["learned"]:
+            self._rebuild(state, new, name, held + most)
+        else:
+            state["postings"] += self.postings(state).write(new, f"postings-{name}", most)
+            state["postings"] = self.postings(state).merged(lambda d: d, f"postings-{name}-merged")
+            state["learned"] = state["learned"] or sum(r["rows"] for r in state["postings"])
+        state["words"] = self.words(state).merged(lambda d: d.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "mixed", "small", "big")]), f"words-{name}-merged")
+        self._commit(state)
+        return found
+
+    def _probe(self, texts: DataFrame, distinct: DataFrame, rows: DataFrame, scratch: Scratch, state: dict, name: str) -> tuple[DataFrame, DataFrame]:
+        """The batch's repeats, and the postings of its new texts."""
+        probes = rows.select("block", "fact_id", F.lit(None).cast("bigint").alias("first_id"), "sig", "words", "names")
+        if state["postings"]:
+            index = self.postings(state)
+            # Only postings under the batch's own keys, of texts whose length may fit one of them.
+            keys = rows.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+            held = index.read_for(rows).join(keys, "block").where((F.col("n") >= F.col("lo") * F.lit(self.least) - 1e-9) & (F.col("n") * F.lit(self.least) <= F.col("hi") + 1e-9))
+            self.read_files = index.files
+            probes = probes.unionByName(held.select(*probes.columns))
         tiles = ["block", "i", "j"]
-        ordered = split_hot(probes).repartition(shuffle_width(self.spark), *tiles).sortWithinPartitions(*tiles, "fact_id").select(*tiles, "own", "fact_id", "first_id", "sig", "words")
-        done = stage(ordered.mapInArrow(_linked(self.least, self.model), "fact_id bigint, to bigint, again boolean"), "probe")
+        ordered = split_hot(probes).repartition(shuffle_width(self.spark), *tiles).sortWithinPartitions(*tiles, "fact_id").select(*tiles, "own", "fact_id", "first_id", "sig", "words", "names")
+        done = scratch.stage(ordered.mapInArrow(_linked(self.least), "fact_id bigint, to bigint, again boolean"), "probe")
         # Links found under different keys, and statements that earlier batches showed to be one, come together.
         links = done.where(F.col("to").isNotNull()).select(F.col("fact_id").alias("a"), F.col("to").alias("b")).distinct()
-        links = stage(links if merged is None else links.unionByName(merged), "links")
-        ids = links.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        group = stage(components(links, ids.withColumn("first", F.col("sig"))).select(F.col("sig").alias("fact_id"), "group_id"), "group")
-        state = done.groupBy("fact_id").agg(F.max(F.col("to").isNotNull()).alias("linked"), F.max("again").alias("again"))
-        resolved = distinct.select("sig", "fact_id").join(state, "fact_id").join(group, "fact_id", "left")
-        resolved = stage(resolved.select("sig", F.col("fact_id").alias("stands_for"), F.coalesce("group_id", "fact_id").alias("first_id"), "linked", "again"), "first")
-        each = salted_lookup(texts.select("fact_id", "sig"), resolved.drop("again"), "sig", F.col("fact_id"))
+        if state["merged"]:
+            links = links.unionByName(self.spark.read.schema("a bigint, b bigint").parquet(*[f"{self.path}/{m}" for m in state["merged"]]))
+        group = linked_ids(links, scratch)
+        state_of = done.groupBy("fact_id").agg(F.max(F.col("to").isNotNull()).alias("linked"), F.max("again").alias("again"))
+        resolved = distinct.select("sig", "fact_id").join(state_of, "fact_id").join(group, "fact_id", "left")
+        resolved = scratch.stage(resolved.select("sig", F.col("fact_id").alias("stands_for"), F.coalesce("group_id", "fact_id").alias("first_id"), "linked", "again"), "first")
+        # A text copied very often makes a large partition of two numbers a row; adaptive execution splits it.
+        each = texts.join(resolved.drop("again"), "sig")
         found = stage(each.where(F.col("linked") | (F.col("fact_id") != F.col("stands_for"))).select("first_id", "fact_id"), "repeats")
-        new = rows.join(resolved.where(~F.col("again")).select("sig", "first_id"), "sig")
-        new = new.select("block", "fact_id", "first_id", "sig", "words", F.pmod("block", F.lit(BUCKETS)).cast("int").alias("bucket"))
-        new.repartition("bucket").sortWithinPartitions("block", "fact_id").write.mode("append").partitionBy("bucket").parquet(self.path)
-        known = group.where(F.col("fact_id") != F.col("group_id")).join(distinct.select("fact_id"), "fact_id", "left_anti")
-        known.select(F.col("fact_id").alias("a"), F.col("group_id").alias("b")).coalesce(1).write.mode("append").parquet(f"{self.path}-merged")
-        self.filled = True
-        return found
+        fresh = resolved.where(~F.col("again")).select("sig", "first_id")
+        new = rows.join(fresh, "sig").select(*[c.split(" ")[0] for c in POSTING.split(", ")])
+        known = group.where(F.col("fact_id") != F.col("group_id")).join(distinct.select("fact_id"), "fact_id", "left_anti").select(F.col("fact_id").alias("a"), F.col("group_id").alias("b"))
+        if not known.isEmpty():
+            known.write.mode("overwrite").parquet(f"{self.path}/merged-{name}")
+            state["merged"] = [f"merged-{name}"]
+        return found, new
+
+    def _rebuild(self, state: dict, new: DataFrame, name: str, most: int) -> None:
+        """The order learned anew, and all postings keyed by it, as one run."""
+        held = self.postings(state).read().unionByName(new).select("sig", "fact_id", "first_id", "words").dropDuplicates(["sig"])
+        self._learn(state)
+        rows = self.keyed(held.withColumn("words", F.split("words", " ")), state).select(F.explode("keys").alias("block"), "n", "fact_id", "first_id", "sig", "words", "names")
+        state["postings"] = self.postings(state).write(rows, f"postings-{name}", most)
+        state["learned"] = sum(r["rows"] for r in state["postings"])
+
+
+def linked_ids(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """fact_id, group_id: the smallest id that the links (a, b) lead each id to."""
+    edges = scratch.stage(links.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*"), "links")
+    return spread(edges, scratch).select(F.col("x").alias("fact_id"), F.col("l").alias("group_id"))
 
 
 def repeated_facts(facts: DataFrame, similarity: float = 0.65) -> DataFrame:
     """first_id, fact_id of all repeats in a table of batches (batch_id, fact_id, content), batch after batch; a null batch counts as the first."""
-    index = StatementIndex(facts.sparkSession, similarity)
+    index = StatementIndex(facts.sparkSession, similarity=similarity)
     facts = facts.where(F.col("fact_id").isNotNull())
     batches = sorted(r["batch_id"] for r in facts.select("batch_id").where(F.col("batch_id").isNotNull()).distinct().collect()) or [0]
     facts = facts.withColumn("batch_id", F.coalesce("batch_id", F.lit(batches[0])))

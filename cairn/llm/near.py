@@ -15,11 +15,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.words import token_rows
-from cairn.session import shuffle_width, stage
+from cairn.session import Scratch, shuffle_width, stage
 
 BANDS, ROWS = 60, 6
 #: Shingles in fewer than this share of the texts all weigh as if in that share: the dictionary of the others
@@ -272,26 +272,28 @@ class NearDuplicates:
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """sig, group_id: the least `first` of each connected component of `links` (a, b) over `nodes` (sig, first).
+    """sig, group_id: the least `first` of each connected component of `links` (a, b) over `nodes` (sig, first)."""
+    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ids = nodes.join(edges.select(F.col("a").alias("sig")).distinct(), "sig", "left_semi").select("sig", "first")
+    e = edges.join(ids.select(F.col("sig").alias("a"), F.col("first").alias("x")), "a").join(ids.select(F.col("sig").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    label = spread(stage(e, "edges"))
+    return nodes.join(label.withColumnRenamed("x", "first"), "first", "left").select("sig", F.coalesce("l", "first").alias("group_id"))
+
+
+def spread(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """x, l: the least node that each node of `edges` (x, y, every edge both ways) is connected with.
 
     Labels spread to neighbours and then jump to their own label's label, so that rounds grow with the logarithm of a
-    component's diameter; each round is a written table. Nothing but one count per round comes to the driver.
+    component's diameter; each round is a written table. Nothing but one sign per round comes to the driver.
     """
-    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = edges.select(F.col("a").alias("sig")).distinct()
-    named = nodes.join(linked, "sig", "left_semi")
-    ids = named.select(F.col("sig"), F.col("first"))
-    e = edges.join(ids.select(F.col("sig").alias("a"), F.col("first").alias("x")), "a").join(ids.select(F.col("sig").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
-    e = stage(e, "edges")
-    label = e.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("l"))
-    label = stage(label, "label")
+    keep = scratch.stage if scratch else stage
+    label = edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("l"))
     while True:
-        near = e.join(label.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
+        near = edges.join(label.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
         step = label.join(near, "x").select("x", F.least("l", "m").alias("n"), "l")
         jump = label.select(F.col("x").alias("n"), F.col("l").alias("j"))
-        new = stage(step.join(jump, "n", "left").select("x", F.coalesce(F.least("n", "j"), "n").alias("l"), (F.coalesce(F.least("n", "j"), "n") != F.col("l")).alias("moved")), "label")
-        moved = new.where("moved").isEmpty()
-        label = new.select("x", "l")
-        if moved:
-            break
-    return nodes.join(label.withColumnRenamed("x", "first"), "first", "left").select("sig", F.coalesce("l", "first").alias("group_id"))
+        new = step.join(jump, "n", "left").select("x", F.coalesce(F.least("n", "j"), "n").alias("l"), (F.coalesce(F.least("n", "j"), "n") != F.col("l")).alias("moved"))
+        seen = Observation()
+        label = keep(new.observe(seen, F.max("moved").alias("moved")).select("x", "l"), "label")
+        if not seen.get["moved"]:
+            return label

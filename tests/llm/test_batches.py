@@ -3,7 +3,8 @@ from datetime import datetime
 
 import pytest
 
-from cairn.llm.batches import NameModel, StatementIndex, close, repeated_facts, repeats
+from cairn.llm import batches
+from cairn.llm.batches import StatementIndex, close, grams, is_name, letter_weights, repeated_facts, repeats
 
 T = datetime(2026, 1, 1)
 SCHEMA = "fact_id bigint, batch_id int, content string, summary string, block string, sig string"
@@ -33,14 +34,57 @@ def test_empty(spark):
     assert repeated_facts(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_the_index_goes_on_where_it_was(spark, facts):
-    index = StatementIndex(spark)
+def test_a_reopened_index_knows_its_history(spark, facts, tmp_path):
+    path = str(tmp_path / "index")
     for b in (0, 1, 2):
-        index.add(facts.where(f"batch_id = {b}"))
-    size = spark.read.parquet(index.path).count()
-    again = index.add(facts.where("batch_id = 1").withColumn("fact_id", facts["fact_id"] + 100))
-    assert {(r["first_id"], r["fact_id"]) for r in again.collect()} == {(30, 130), (30, 131)}
-    assert spark.read.parquet(index.path).count() == size
+        StatementIndex(spark, path).add(facts.where(f"batch_id = {b}"))
+    size = StatementIndex(spark, path).postings().read().count()
+    moved = facts.where("batch_id = 0").withColumn("fact_id", facts["fact_id"] + 100)
+    index = StatementIndex(spark, path)
+    again = {(r["first_id"], r["fact_id"]) for r in index.add(moved).collect()}
+    known = {r["fact_id"] for r in facts.where("batch_id = 0").collect()}
+    assert again == {(i, i + 100) for i in known}
+    assert StatementIndex(spark, path).postings().read().count() == size
+    with pytest.raises(ValueError):
+        StatementIndex(spark, path, similarity=0.8)
+
+
+def test_a_probe_reads_the_same_files_however_long_the_history(spark):
+    def fact(i):
+        return (i, f"item{i}a item{i}b item{i}c item{i}d reports {i + 100000}")
+
+    def read(history):
+        index = StatementIndex(spark, per_bucket=20)
+        index.add(spark.createDataFrame([fact(i) for i in range(history)], "fact_id bigint, content string"))
+        index.add(spark.createDataFrame([(10**6, fact(3)[1] + " again")], "fact_id bigint, content string"))
+        return len(index.read_files), len(index.postings().runs[0]["held"])
+
+    small, large = read(60), read(600)
+    assert large[1] > 4 * small[1]
+    assert large[0] <= small[0] + 2 <= 8
+
+
+def test_a_failed_batch_changes_nothing(spark, facts, monkeypatch):
+    index = StatementIndex(spark)
+    index.add(facts.where("batch_id = 1"))
+    before = index.state
+    monkeypatch.setattr(batches, "linked_ids", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        index.add(facts.where("batch_id = 2"))
+    monkeypatch.undo()
+    assert index.state == before
+    assert (30, 32) in {(r["first_id"], r["fact_id"]) for r in index.add(facts.where("batch_id = 2")).collect()}
+
+
+def test_a_growing_index_is_keyed_anew_and_merged(spark):
+    rows = [(i, i // 20, f"w{i % 70}a w{i % 70}b w{i % 70}c w{i % 70}d w{i % 70}e {i % 70}") for i in range(100)]
+    facts = spark.createDataFrame(rows, "fact_id bigint, batch_id int, content string")
+    index = StatementIndex(spark, per_bucket=30)
+    found = set()
+    for b in range(5):
+        found |= {(r["first_id"], r["fact_id"]) for r in index.add(facts.where(f"batch_id = {b}")).collect()}
+    assert found == {(i % 70, i) for i in range(70, 100)}
+    assert len(index.state["postings"]) < 4 and len(index.state["words"]) < 4
 
 
 def test_variants_of_variants_are_repeats(spark):
@@ -52,22 +96,32 @@ def test_variants_of_variants_are_repeats(spark):
 
 
 def test_one_number_in_all_facts_is_no_single_block(spark, monkeypatch):
-    import cairn.llm.batches as batches
-
     rows = [(i + 1, i // 40, f"w{i % 60}a w{i % 60}b w{i % 60}c w{i % 60}d {'x' if i < 60 else 'y'} 2026") for i in range(80)]
     facts = spark.createDataFrame(rows, "fact_id bigint, batch_id int, content string")
-    assert max(r["count"] for r in StatementIndex(spark).keyed(batches.with_words(facts)).groupBy("block").count().collect()) <= 2
+    index = StatementIndex(spark)
+    index.add(facts)
+    assert max(r["count"] for r in index.postings().read().groupBy("block").count().collect()) <= 2
     monkeypatch.setattr(batches, "HOT", 1)
     assert {(r["first_id"], r["fact_id"]) for r in repeated_facts(facts).collect()} == {(i, i + 60) for i in range(1, 21)}
 
 
+def test_names():
+    plain = ["because", "queue", "notes", "sorts", "while", "idle", "grew", "rows", "index", "team"]
+    slots = sorted({g for w in [*(n.lower() for n in NAMES), *plain] for g in grams(w)})
+    count = lambda words, g: sum(g in grams(w) for w in words)
+    weights = letter_weights([(g, count([n.lower() for n in NAMES], g), count(plain, g)) for g in slots], len(NAMES), len(plain))
+    assert is_name("zelormund", 0, 0, 1, weights) and not is_name("because", 0, 0, 0, weights)
+    assert is_name("abcdef", 3, 0, 5, None)  # Latin in Cyrillic texts
+    assert not is_name("zelormund", 3, 9, 1, weights)  # mostly in small letters
+    assert not is_name("ivo", 9, 0, 9, weights) and not is_name("слово", 9, 0, 9, weights)
+
+
 def test_pairs():
-    model = NameModel.fit([f"слово о {n} и слово".lower() for n in NAMES] + ["the queue sorts notes while the index grew past rows because team"] * 4)
-    assert model.is_name("zelormund") and not model.is_name("queue") and not model.is_name("because")
     words = lambda s: Counter(s.split())
+    names = frozenset(["zelanmora", "zelormund"])
     a = words("the queue sorts notes while zelanmora grew past 5 rows")
-    assert repeats(a, words("the queue sorts notes while zelanmora grew past 5 rwos"), 0.65, model)
-    assert not repeats(a, words("the queue sorts notes while zelormund grew past 5 rows"), 0.65, model)
-    assert not repeats(a, words("the queue sorts notes while zelanmora grew past 6 rows"), 0.65, model)
-    assert not repeats(a, words("the queue zelanmora 5"), 0.65, model)
+    assert repeats(a, words("the queue sorts notes while zelanmora grew past 5 rwos"), names, 0.65)
+    assert not repeats(a, words("the queue sorts notes while zelormund grew past 5 rows"), names, 0.65)
+    assert not repeats(a, words("the queue sorts notes while zelanmora grew past 6 rows"), names, 0.65)
+    assert not repeats(a, words("the queue zelanmora 5"), names, 0.65)
     assert close("below", "beolw") and not close("below", "above")
