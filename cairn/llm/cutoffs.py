@@ -1,9 +1,8 @@
 """Text cut off by field limits (problem 10).
 
-The corpus vocabulary is a trie, kept as a table of its nodes: every beginning of every word, and whether it is a word
-itself. A text is cut inside a word if its last token is an unknown node with words below it. How the text ends tells
-the rest: a sentence without its end, an open code block, half a character; lengths that pile up at a source's limits
-are evidence too.
+The corpus vocabulary is a trie, kept as a table of its nodes: beginnings of known words, and whether a node is a word
+itself. Whether the last token is an unknown node with words below it, whether the text's length, in characters or bytes, is
+one at which its source's texts pile up, and how the text ends are evidence; their sum decides.
 """
 
 from __future__ import annotations
@@ -12,10 +11,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.bits import bit_set, held
 from cairn.operators.skew import salted_lookup
 from cairn.session import stage
 
@@ -29,6 +31,11 @@ TRAILING_OFF = (
 KNOWN_IN = 2
 #: A length is a limit of a source if so many of the source's texts have it and it is this many times their neighbours'.
 LIMIT_COUNT, LIMIT_TIMES = 5, 8
+#: Evidence for a cut: of the last token (an unknown proper prefix of known words, a known word), of a length at a limit, of how the text ends (see ending(); trailing: a
+#: mark after one of TRAILING_OFF). A sentence without end is enough by itself, since a cut between words leaves nothing else; a mark of omission is not.
+PREFIX, KNOWN, AT_LIMIT = 2.0, -0.5, 2.0
+ENDS = {"broken": 3.0, "code": 2.0, "open": 1.5, "omission": 1.5, "mark": 0.5, "trailing": -3.5, "line": -1.5, "closed": -4.0}
+THRESHOLD = 1.0
 
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"\s*(?:\[\s*(?:…|\.\.\.)\s*\]|\(\s*(?:…|\.\.\.)\s*\)|…|\.{3,})\s*$")
@@ -46,7 +53,7 @@ def ending(text: str) -> tuple[str, str, str]:
 
     kind: empty; broken (half a character); code (open code block); mark (omission mark after an unfinished sentence,
     phrase being what stands between the sentence's start and the mark); line (a tag line, signature, key or version);
-    closed (a sentence or block that is closed, or a sign like an emoji); open (nothing of these: no end of sentence).
+    omission (the same in brackets); closed (a sentence or block that is closed, or a sign like an emoji); open (nothing of these: no end of sentence).
     """
     body = text.rstrip()
     if not body:
@@ -62,7 +69,7 @@ def ending(text: str) -> tuple[str, str, str]:
         if not phrase:
             return "closed", "", ""
         token = _LAST.search(rest)
-        return "mark", token[1].lower() if token else "", " ".join(phrase.lower().split())
+        return "omission" if m[0].strip()[0] in "[(" else "mark", token[1].lower() if token else "", " ".join(phrase.lower().split())
     token = _LAST.search(body)
     line = body[body.rfind("\n") + 1 :].strip()
     if token is None:
@@ -74,11 +81,20 @@ def ending(text: str) -> tuple[str, str, str]:
     return "open", last, ""
 
 
+def token_hash(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, dtype=object)).view(np.int64) if words else np.empty(0, np.int64)
+
+
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2).to_pylist()
         rows = [ending(t) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int32()), *(pa.array([r[k] for r in rows], pa.string()) for k in range(3))], ["doc_id", "source", "length", "ending", "token", "phrase"])
+        kinds = ["trailing" if k == "mark" and p in TRAILING_OFF else k for k, _, p in rows]
+        sizes = [[len(t) for t in texts], [len(t.encode()) for t in texts]]
+        tokens = [r[1] for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), *(pa.array(x, pa.int32()) for x in sizes), pa.array(kinds, pa.string()), pa.array(tokens, pa.string()), pa.array(token_hash(tokens))], ["doc_id", "source", "chars", "bytes", "ending", "token", "h"]
+        )
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,46 +106,66 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
 
-def trie(texts: DataFrame, known_in: int = KNOWN_IN) -> DataFrame:
-    """node, known: the beginnings of all known words, and whether the node itself is a known word."""
-    words = texts.select("text").mapInArrow(_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= known_in)
-    nodes = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.struct(F.substring(F.col("word"), F.lit(1), k).alias("node"), (k == F.length("word")).alias("known")))).alias("x"))
-    return nodes.select("x.node", "x.known").groupBy("node").agg(F.max("known").alias("known"))
+def _nodes(bits: np.ndarray):
+    """The trie's nodes that may be asked for: beginnings of the words, and whether they are the whole word."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 5000):
+                words = batch.column(0).slice(start, 5000).to_pylist()
+                nodes = [w[:k] for w in words for k in range(1, len(w) + 1)]
+                ends = np.concatenate([np.arange(1, len(w) + 1) == len(w) for w in words]) if words else np.empty(0, bool)
+                keep = pa.array(held(bits, token_hash(nodes)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()).filter(keep), pa.array(ends).filter(keep)], ["node", "known"])
 
-def limits(texts: DataFrame) -> DataFrame:
-    """source, n_chars: lengths at which a source's texts pile up, against the mean of the 20 lengths around."""
-    counts = texts.groupBy("source", F.length("text").alias("n_chars")).agg(F.count("*").alias("n"))
-    around = F.sum("n").over(Window.partitionBy("source").orderBy("n_chars").rangeBetween(-10, 10)) - F.col("n")
-    return counts.withColumn("around", around / 20).where((F.col("n") >= LIMIT_COUNT) & (F.col("n") >= LIMIT_TIMES * F.col("around"))).select("source", "n_chars")
+    return run
 
 
-def cut_texts(documents: DataFrame) -> DataFrame:
-    """doc_id, source, why: the documents whose text is only the beginning of a longer one.
-
-    why: character (half a character), code (inside a code block), word (the last token is no word but begins one), sentence
-    (whole words, but the sentence has no end), mark (an omission mark after an unfinished sentence), limit (a closing line, such as a key,
-    whose last token is unknown at a length that is a limit of the source).
-    Null and empty texts are not cut. A document is judged by its own text; the vocabulary and limits come from all documents. Repeated
-    rows count each; a vocabulary of few texts knows few words, then only the ending counts. Extra columns do not matter.
+def trie(texts: DataFrame, asked: DataFrame, known_in: int = KNOWN_IN) -> DataFrame:
+    """node, known: those beginnings of known words that are among the tokens asked for (h: their hashes) or hash like one, and whether the node itself is a known word."""
+    words = texts.select("text").mapInArrow(_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= known_in)
+    return words.select("word").mapInArrow(_nodes(bit_set(asked)), "node string, known boolean").groupBy("node").agg(F.max("known").alias("known"))
+
+
+def limits(ends: DataFrame, length: str) -> DataFrame:
+    """source, n: lengths at which a source's texts pile up, against the mean of the 20 lengths around."""
+    counts = ends.groupBy("source", F.col(length).alias("n")).agg(F.count("*").alias("k"))
+    around = F.sum("k").over(Window.partitionBy("source").orderBy("n").rangeBetween(-10, 10)) - F.col("k")
+    return counts.withColumn("around", around / 20).where((F.col("k") >= LIMIT_COUNT) & (F.col("k") >= LIMIT_TIMES * F.col("around"))).select("source", "n")
+
+
+def scored(documents: DataFrame) -> DataFrame:
+    """doc_id, source, ending, prefix, known, limit, score of every document with a text: the evidence, and its sum."""
+    texts = documents.where(F.col("text").isNotNull() & (F.col("text") != "")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
+    # Texts are read for their endings, and once more for their words; all the rest is made of this small table.
+    ends = stage(texts.mapInArrow(_endings, "doc_id bigint, source string, chars int, bytes int, ending string, token string, h bigint"), "ends")
+    # Closed texts, most of them, have no last token to look up; many texts may end with one word, so the look-up is salted.
+    asked = ends.where(F.col("token") != "")
+    named = salted_lookup(asked, trie(texts, asked.select("h")).withColumnRenamed("node", "token"), "token", F.col("doc_id"))
+    rows = named.unionByName(ends.where(F.col("token") == "").withColumn("known", F.lit(None).cast("boolean")))
+    for length in ("chars", "bytes"):
+        # A text of no source is compared with the limits of all sources.
+        found = limits(ends, length)
+        found = found.unionByName(found.select(F.lit(None).cast("string").alias("source"), "n")).distinct().select(F.col("source").alias("_s"), F.col("n").alias("_n"), F.lit(True).alias(f"_{length}"))
+        rows = rows.join(found, F.col("source").eqNullSafe(F.col("_s")) & (F.col(length) == F.col("_n")), "left").drop("_s", "_n")
+    prefix, known = F.coalesce(~F.col("known"), F.lit(False)), F.coalesce("known", F.lit(False))
+    limit = F.coalesce("_chars", F.lit(False)) | F.coalesce("_bytes", F.lit(False))
+    points = lambda flag, n: F.when(flag, F.lit(n)).otherwise(F.lit(0.0))
+    end = F.element_at(F.create_map(*[F.lit(x) for kv in ENDS.items() for x in kv]), F.col("ending"))
+    score = F.coalesce(end, F.lit(ENDS["closed"])) + points(prefix, PREFIX) + points(known, KNOWN) + points(limit, AT_LIMIT)
+    return rows.select("doc_id", "source", "ending", prefix.alias("prefix"), known.alias("known"), limit.alias("limit"), score.alias("score"))
+
+
+def cut_texts(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, source, why, score: the documents whose text is only the beginning of a longer one, by the sum of the evidence.
+
+    why, the first that holds: character (half a character), word (the last token is no word but begins one), limit (the length is one
+    of the source's limits), code (inside a code block), sentence (whole words, but the sentence has no end).
+    Null and empty texts are not cut. The vocabulary and limits come from all documents; of few documents they know little, then only the
+    ending counts. Repeated rows count each. Extra columns do not matter.
     """
-    texts = documents.where(F.col("text").isNotNull() & (F.col("text") != "")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source")
-    ends = texts.select("doc_id", "source", "text").mapInArrow(_endings, "doc_id bigint, source string, length int, ending string, token string, phrase string")
-    # What is unclear is a small part, written once; many texts may end with one word, so the trie is looked up with salted keys.
-    unclear = stage(ends.where(~F.col("ending").isin("empty", "closed")), "ends")
-    lim = limits(texts).select(F.col("source").alias("_s"), F.col("n_chars").alias("_n"), F.lit(True).alias("_limit"))
-    judged = salted_lookup(unclear, trie(texts).withColumnRenamed("node", "token"), "token", F.col("doc_id"))
-    judged = judged.join(lim, F.col("source").eqNullSafe(F.col("_s")) & (F.col("length") == F.col("_n")), "left")
-    unknown_prefix = (F.col("token") != "") & ~F.coalesce("known", F.lit(True))
-    phrase_closed = F.col("phrase").isin(*TRAILING_OFF)
-    why = (
-        F.when(F.col("ending") == "broken", "character")
-        .when(F.col("ending") == "code", "code")
-        .when((F.col("ending") == "mark") & ~phrase_closed, F.when(unknown_prefix, "word").otherwise("mark"))
-        .when(F.col("ending") == "open", F.when(unknown_prefix, "word").otherwise("sentence"))
-        .when((F.col("ending") == "line") & unknown_prefix & F.coalesce("_limit", F.lit(False)), "limit")
-    )
-    return judged.select("doc_id", "source", why.alias("why")).where(F.col("why").isNotNull())
+    why = F.when(F.col("ending") == "broken", "character").when(F.col("prefix"), "word").when(F.col("limit"), "limit").when(F.col("ending") == "code", "code").otherwise("sentence")
+    return scored(documents).where(F.col("score") >= threshold - 1e-9).select("doc_id", "source", why.alias("why"), "score")
 
 
 def cut_by_source(documents: DataFrame, cut: DataFrame) -> DataFrame:
