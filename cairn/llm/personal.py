@@ -10,15 +10,21 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.bits import bit_set, held
+from cairn.operators.skew import salted_lookup
+
 KINDS = ("email", "phone", "id_number", "address", "person")
 THRESHOLD = 1.0
-#: Names of an address book that may go to all tasks; it is a table of people, not of texts.
-MOST_NAMES = 1_000_000
+#: Contacts of an address book that is sent to all tasks; a larger one is joined with the words of texts.
+MOST_NAMES = 200_000
 
 _EMAIL = re.compile(
     r"(?<![\w.+@-])[\w.+-]*\w\s?(?:@|\(at\)|\[at\]|\{at\})\s?[\w-]+(?:(?:\.|\s?(?:\[dot\]|\(dot\)|\{dot\})\s?)[\w-]+)+(?![\w@])", re.I
@@ -72,6 +78,10 @@ _DIGITS = re.compile(r"\d[\d .()/-]{5,}\d|[A-Z]{1,2}[ -]?\d[\dA-Z -]{5,}")
 _ADDRESSES = [re.compile(rf"(?<![\w-])(?:{p})(?!\w)") for p in _ADDRESS]
 _FOLDED = [re.compile(rf"(?<![\w-])(?:{p.replace(_CAP, r"[^\W\d_][\w'’-]*")})(?!\w)", re.I) for p in _ADDRESS]
 _PUNCTUATION = re.compile(r"[,.;:!?()\"«»*_\[\]]")
+#: Words before a name or an address that speak against it (parts of documents, as in "Appendix A. Martin", "see section 12 Hill Road"), and words for an address.
+_AGAINST_NAME = re.compile(r"(?:appendix|annex|section|chapter|figure|table|exhibit|anhang|abschnitt|kapitel|tabelle|annexe|chapitre|tableau|anexo|sección|capítulo|secção|приложение|раздел|глава|таблица|додаток|розділ|таблиця)\s$", re.I)
+_AGAINST_PLACE = re.compile(r"(?:release|version|build|branch|ticket|commit|folder|file|path|ordner|datei|dossier|fichier|carpeta|archivo|pasta|ficheiro|версия|сборка|папка|файл|версія|збірка|тека)\W{1,2}$", re.I)
+_FOR_PLACE = re.compile(r"address|live[sd]? at|moved to|deliver|parcel|office|visit|adresse|wohn|liefer|paket|habite|livr|colis|dirección|vive en|entreg|paquete|morada|vive na|encomenda|адрес|живёт|живет|достав|посыл|живе|посил", re.I)
 _INITIAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁЇІЄҐ]\."
 
 
@@ -105,10 +115,22 @@ def nif(text: str) -> bool:
     return len(t) == 9 and t[:8].isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(t[:8]) % 23] == t[8]
 
 
-def checks(surface: str) -> bool:
-    """Whether any of the checksums that could belong to the surface holds."""
-    digits = re.sub(r"\D", "", surface)
-    return (len(digits) in (15, 16) and luhn(digits)) or nir(digits) or snils(digits) or iban(surface) or nif(surface)
+#: Forms that claim a checksum: Luhn (cards), mod 97 (bank accounts, French numbers), Russian and Spanish check digits.
+_CLAIMS = (
+    (re.compile(r"\d{4} ?\d{4} ?\d{4} ?\d{4}|\d{15}"), lambda t: luhn(re.sub(r"\D", "", t))),
+    (re.compile(r"[A-Z]{2}\d{2}(?: ?[\dA-Z]{4}){3,7}(?: ?[\dA-Z]{1,4})?"), lambda t: iban(t)),
+    (re.compile(r"[0-478] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|[12]\d{14}"), lambda t: nir(re.sub(r"\D", "", t))),
+    (re.compile(r"\d{3}-\d{3}-\d{3} \d{2}|\d{11}"), lambda t: snils(re.sub(r"\D", "", t))),
+    (re.compile(r"(?:[XYZ]-?\d{7}|\d{8}|\d{2}\.\d{3}\.\d{3})-?[A-Z]"), lambda t: nif(t)),
+)
+#: What a checksum that holds adds to a score, and one that fails takes off. Bare digits (no letters or marks) lose nothing: they claim no scheme.
+HOLDS, FAILS = 0.6, -0.15
+
+
+def checked(surface: str) -> float:
+    """HOLDS if a checksum that the surface's form claims holds, FAILS if all that it claims fail, 0 if it claims none."""
+    claimed = [check(surface) for form, check in _CLAIMS if form.fullmatch(surface)]
+    return HOLDS if any(claimed) else FAILS if claimed and not surface.isdigit() else 0.0
 
 
 @dataclass(frozen=True)
@@ -138,7 +160,17 @@ def people(text: str, names: Names) -> Iterator[tuple[int, int, float]]:
         return
     first = low & names.first
     for m in _person_pattern(tuple(sorted(first, key=len, reverse=True)), tuple(sorted(last, key=len, reverse=True))).finditer(text):
-        yield m.start(), m.end(), 1.0
+        # A first name of the book confirms an initial's place; words nearby speak against the rest.
+        score = 1.4 if any(w.strip(".,").lower() in first for w in m[0].split()) else 1.1
+        yield m.start(), m.end(), score - (0.3 if _AGAINST_NAME.search(text[max(0, m.start() - 24) : m.start()]) else 0)
+
+
+def places(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, float]]:
+    """Spans of addresses: longer ones first, as words nearby speak for and against them."""
+    for m in pattern.finditer(text):
+        near = text[max(0, m.start() - 32) : m.start()]
+        score = 1.5 + (m.end() - m.start()) / 1000 + (0.2 if _FOR_PLACE.search(near) else 0) - (0.6 if _AGAINST_PLACE.search(near) else 0)
+        yield m.start(), m.end(), score
 
 
 def numbers(text: str) -> Iterator[tuple[int, int, str, float]]:
@@ -157,8 +189,8 @@ def numbers(text: str) -> Iterator[tuple[int, int, str, float]]:
                 score -= 1
             if _FOR[kind].search(near) or _FOR[kind].search(text[m.end() : m.end() + 24]):
                 score += 0.5
-            if kind == "id_number" and checks(surface):
-                score += 0.6
+            if kind == "id_number":
+                score += checked(surface)
             if best is None or (score, m.end()) > (best[3], best[1]):
                 best = (at, m.end(), kind, score)
         if best:
@@ -179,8 +211,8 @@ def findings(text: str | None, names: Names) -> list[tuple[int, int, str]]:
         flat = text in (low, text.upper())
         for i, words in enumerate(_STREET):
             if any(w in low for w in words):
-                spans += [(1.5 + (m.end() - m.start()) / 1000, m.start(), m.end(), "address") for m in (_FOLDED if flat else _ADDRESSES)[i].finditer(text)]
-    spans += [(s, a, b, "person") for a, b, s in people(text, names)]
+                spans += [(s, a, b, "address") for a, b, s in places(text, (_FOLDED if flat else _ADDRESSES)[i]) if s >= THRESHOLD]
+    spans += [(s, a, b, "person") for a, b, s in people(text, names) if s >= THRESHOLD]
     out: list[tuple[int, int, str]] = []
     for _, a, b, kind in sorted(spans, key=lambda x: (-x[0], x[1], -x[2])):
         if all(b <= x or a >= y for x, y, _ in out):
@@ -199,46 +231,101 @@ def masked(text: str | None, names: Names) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def _found(names: Names):
+def _found(rows: list[tuple], names) -> pa.RecordBatch:
+    src, row, kind, surface = [], [], [], []
+    for (s, i, text), own in zip(rows, names):
+        for k, v in dict.fromkeys((k, text[a:b]) for a, b, k in findings(text, own)):
+            src.append(s), row.append(i), kind.append(k), surface.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(row, pa.int64()), pa.array(kind, pa.string()), pa.array(surface, pa.string())], ["src", "row_id", "kind", "surface"])
+
+
+def _masked(rows: list[tuple], names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([masked(r[2], own) for r, own in zip(rows, names)], pa.string())], ["src", "row_id", "text"]
+    )
+
+
+def _with_book(work, names: Names):
+    """work on rows (src, row_id, text), with one address book for all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            src, row, kind, surface = [], [], [], []
-            for s, i, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for k, v in dict.fromkeys((k, text[a:b]) for a, b, k in findings(text, names)):
-                    src.append(s), row.append(i), kind.append(k), surface.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(row, pa.int64()), pa.array(kind, pa.string()), pa.array(surface, pa.string())], ["src", "row_id", "kind", "surface"])
+            yield work(list(zip(*(batch.column(k).to_pylist() for k in range(3)))), repeat(names))
 
     return run
 
 
-def _masked(names: Names):
+def _with_own(work):
+    """work on rows (src, row_id, text, first, last), with each row's own names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            yield work(list(zip(*columns[:3])), [Names(frozenset(f or ()), frozenset(n or ())) for f, n in zip(*columns[3:])])
+
+    return run
+
+
+def _candidates(bits: np.ndarray):
+    """Rows (src, row_id, text, words): the words of each text that may be names of the book, in small letters."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([masked(t, names) for t in batch.column(2).to_pylist()], pa.string())], ["src", "row_id", "text"])
+            words = [sorted(set(_PUNCTUATION.sub(" ", t.lower()).split())) if t else [] for t in batch.column(2).to_pylist()]
+            flat = [w for x in words for w in x]
+            may = iter(held(bits, pd.util.hash_array(np.array(flat, dtype=object)).view(np.int64)).tolist() if flat else ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array([[w for w in x if next(may)] for x in words], pa.list_(pa.string()))], ["src", "row_id", "text", "words"])
 
     return run
 
 
-def read_names(contacts: DataFrame) -> Names:
-    """The names of an address book (full_name), which must be small enough to go to all tasks."""
-    rows = contacts.select("full_name").where(F.col("full_name").isNotNull()).limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} contacts: name the people to look for")
-    return Names.of([r["full_name"] for r in rows])
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(pd.util.hash_array(np.array(words, dtype=object)).view(np.int64) if words else [], pa.int64())], ["h"])
 
 
-def find_personal(texts: DataFrame, contacts: DataFrame) -> DataFrame:
+def joined_names(texts: DataFrame, contacts: DataFrame) -> DataFrame:
+    """src, row_id, text, first, last: every text with the first and last names of the book among its words, for books of any size.
+
+    Only texts with a word that may be a name (by a set of bits of a fixed size) are joined; words that many texts hold are split by salts.
+    """
+    part = F.split(F.trim(F.lower(F.regexp_replace("full_name", r"\s+", " "))), " ")
+    book = contacts.where(F.col("full_name").isNotNull()).select(part.alias("p")).where(F.size("p") > 1)
+    book = book.select(F.explode(F.array(F.struct(F.col("p")[0].alias("w"), F.lit(True).alias("f")), F.struct(F.element_at("p", -1).alias("w"), F.lit(False).alias("f")))).alias("x"))
+    book = book.groupBy(F.col("x.w").alias("w")).agg(F.max("x.f").alias("is_first"), (~F.min("x.f")).alias("is_last"))
+    rows = texts.mapInArrow(_candidates(bit_set(book.select("w").mapInArrow(_hashed, "h bigint"))), "src string, row_id bigint, text string, words array<string>")
+    some = rows.where(F.size("words") > 0).withColumn("k", F.xxhash64("src", "row_id", "text"))
+    met = salted_lookup(some.select("k", F.explode("words").alias("w")).distinct(), book, "w", F.col("k"), how="inner")
+    own = met.groupBy("k").agg(F.collect_set(F.when(F.col("is_first"), F.col("w"))).alias("first"), F.collect_set(F.when(F.col("is_last"), F.col("w"))).alias("last"))
+    none = F.lit(None).cast("array<string>")
+    named = some.join(own, "k", "left").select("src", "row_id", "text", "first", "last")
+    return named.unionByName(rows.where(F.size("words") == 0).select("src", "row_id", "text", none.alias("first"), none.alias("last")))
+
+
+def _each_text(texts: DataFrame, contacts: DataFrame, work, schema: str, most: int) -> DataFrame:
+    names = contacts.select("full_name").where(F.col("full_name").isNotNull())
+    some = names.limit(most + 1).collect()
+    if len(some) > most:
+        return joined_names(texts, contacts).mapInArrow(_with_own(work), schema)
+    return texts.mapInArrow(_with_book(work, Names.of([r["full_name"] for r in some])), schema)
+
+
+def find_personal(texts: DataFrame, contacts: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
     """src, row_id, kind, surface: each distinct finding of a text once. texts: src, row_id, text; contacts: full_name.
 
-    No shuffle: each text is looked at by itself, whole. Null and empty texts have no findings, repeated rows count each; without
-    contacts no persons are found. Extra columns do not matter.
+    Each text is looked at by itself, whole, without a shuffle while the address book has at most `most_names` contacts and is sent to
+    the tasks; a larger one is joined, with the same result. Null and empty texts have no findings, repeated rows count each;
+    without contacts no persons are found. Extra columns do not matter.
     """
-    return texts.select("src", F.col("row_id").cast("bigint").alias("row_id"), "text").where(F.col("text").isNotNull()).mapInArrow(_found(read_names(contacts)), "src string, row_id bigint, kind string, surface string")
+    rows = texts.select("src", F.col("row_id").cast("bigint").alias("row_id"), "text").where(F.col("text").isNotNull())
+    return _each_text(rows, contacts, _found, "src string, row_id bigint, kind string, surface string", most_names)
 
 
-def mask_personal(texts: DataFrame, contacts: DataFrame) -> DataFrame:
+def mask_personal(texts: DataFrame, contacts: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
     """src, row_id, text: every text with placeholders of their kind in the place of findings; null texts stay null."""
-    return texts.select("src", F.col("row_id").cast("bigint").alias("row_id"), "text").mapInArrow(_masked(read_names(contacts)), "src string, row_id bigint, text string")
+    rows = texts.select("src", F.col("row_id").cast("bigint").alias("row_id"), "text")
+    return _each_text(rows, contacts, _masked, "src string, row_id bigint, text string", most_names)
 
 
 def personal_texts(memories: DataFrame, goals: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-from cairn.llm.personal import Names, checks, find_personal, findings, iban, luhn, mask_personal, masked, nir, snils
+from cairn.llm.personal import FAILS, HOLDS, Names, checked, find_personal, findings, iban, luhn, mask_personal, masked, nir, snils
 
 NAMES = Names.of(["Calder Venmoor", "Radomil Brackley-Voss", "Калдер Венмур", None, "single"])
 
@@ -48,7 +48,32 @@ def test_checksums():
     assert iban("GB82 WEST 1234 5698 7654 32") and not iban("GB82 WEST 1234 5698 7654 33")
     assert nir("255081416802538") and not nir("255081416802539")
     assert snils("11223344595") and not snils("11223344596")
-    assert checks("12345678Z") and not checks("00416290X")
+    assert [checked(x) for x in ("12345678Z", "00416290X", "QQ 27 43 94 C", "11223344595", "11223344596")] == [HOLDS, FAILS, 0.0, HOLDS, 0.0]
+
+
+def test_checksums_decide_where_no_word_does():
+    for good, bad in (("GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"), ("12345678Z", "12345678X"), ("4539 5787 6362 1486", "4539 5787 6362 1487"), ("112-233-445 95", "112-233-445 96")):
+        assert found(f"It says {good} there") == [("id_number", good)]
+        assert found(f"It says {bad} there") == []
+        assert found(f"Passport {bad} there") == [("id_number", bad)]  # a word nearby outweighs a checksum that fails
+
+
+def test_words_nearby_decide():
+    assert found("Call 020 7946 0150 now") == [("phone", "020 7946 0150")] and found("It is 020 7946 0150 here") == []
+    assert found("It is 48907502 here") == [] and found("passport 48907502 here") == [("id_number", "48907502")]
+    assert found("passport, order no. 48907502") == []
+    assert found("Ask C. Venmoor about it") == [("person", "C. Venmoor")] and found("see Appendix C. Venmoor") == []
+    assert found("see Appendix Calder Venmoor") == [("person", "Calder Venmoor")]
+    assert found("sent to 155 Tillerman Street today") == [("address", "155 Tillerman Street")] and found("in version 155 Tillerman Street") == []
+
+
+def test_a_book_of_any_size_gives_the_same(spark):
+    rows = [("m", i, t) for i, t in enumerate(["Ask Dr. Calder R. Brackley-Voss for it", "Mit Venmoor, Radomil wurde", "заметил К. Венмур вчера", "nobody here", "", None, "Call +44 20 7946 0150 or C. Venmoor", "single Calder"])]
+    texts = spark.createDataFrame([*rows, rows[0]], "src string, row_id bigint, text string")
+    people = spark.createDataFrame([(n,) for n in ["Calder Venmoor", "Radomil Brackley-Voss", "Калдер Венмур", None, "single"]], "full_name string")
+    for operator in (find_personal, mask_personal):
+        few, many = (sorted((tuple(r) for r in operator(texts, people, most_names=k).collect()), key=repr) for k in (100, 1))
+        assert few == many and len(few) > 4
 
 
 def test_tables(spark):
