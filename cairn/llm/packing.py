@@ -8,6 +8,7 @@ up the block's histogram of lengths, the counts are rounded down, and what is le
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,13 +17,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.session import stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Fixed value: the pattern that byte-level vocabularies of 50,000 ranks cut texts with before they merge.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Items in a block, about; a block's waste is at most some containers, whatever their number.
 BLOCK = 20_000
 #: A pattern may leave this share of the capacity unused; patterns that begin with one length; sweeps of the least squares.
@@ -34,12 +37,11 @@ ASSIGNED = "capacity int, container string, doc_id bigint, piece int, start_toke
 def tokenizer(path: str):
     """A tokenizer from a rank file (tiktoken form) or a JSON file (tokenizers form), as a function from text to the number of tokens."""
     if path.endswith(".tiktoken"):
-        import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return lambda text: len(own.encode_ordinary(text))
     from tokenizers import Tokenizer
 
@@ -48,21 +50,23 @@ def tokenizer(path: str):
     return lambda text: len(t.encode(text, add_special_tokens=False).ids)
 
 
-def _sizes(path: str):
+def _sizes(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, at, row = tokenizer(path), TaskContext.get().partitionId(), 0
+        count = tokenizer(SparkFiles.get(name))
         for batch in batches:
-            n = [count(t) if t else 0 for t in batch.column(1).to_pylist()]
-            uid = [f"{at}.{row + i}" for i in range(len(n))]
-            row += len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(uid, pa.string())], ["doc_id", "n", "uid"])
+            n = [count(t) if t else 0 for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "sig", "n"])
 
     return run
 
 
 def sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """doc_id, n (tokens of the text, 0 for null and empty), uid (different for repeated rows), written once."""
-    return stage(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_sizes(path), "doc_id bigint, n bigint, uid string"), "sizes")
+    """doc_id, n (tokens of the text, 0 for null and empty), uid, written once. uid is made of the id, the text and, for repeated rows, their
+    number, so it does not depend on how the files are cut. The tokenizer's file is read by the driver and sent to the executors."""
+    documents.sparkSession.sparkContext.addFile(path)
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sig"), "text").mapInArrow(_sizes(os.path.basename(path)), "doc_id bigint, sig bigint, n bigint")
+    repeated = rows.groupBy("doc_id", "sig", "n").count().withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count"))))
+    return stage(repeated.select("doc_id", "n", F.concat_ws(".", "doc_id", "sig", "k").alias("uid")), "sizes")
 
 
 def patterns(lengths: list[int], counts: dict[int, int], capacity: int) -> list[dict[int, int]]:
