@@ -18,15 +18,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.bits import bit_set, held
 from cairn.llm.words import token_rows
 from cairn.session import Scratch, shuffle_width, stage
 
-BANDS, ROWS = 60, 6
+BANDS, ROWS = 40, 7
 #: Shingles in fewer than this share of the texts all weigh as if in that share: the dictionary of the others
 #: has at most mean-shingles-per-text / share entries, whatever the number of texts.
 RARE_SHARE = 1e-3
 #: A band key shared by more distinct texts than this is not expanded into pairs but searched by prefixes.
 BUCKET = 200
+#: A token or key of more texts than this is split into groups of about so many, each pair of groups being a tile.
+HOT = 2_000
 _TABLE, _BLOCK = 4096, 1 << 15
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,6 +194,25 @@ def _verified(least: float):
     return run
 
 
+def _wanted(bits: np.ndarray):
+    """The rows whose first column may be in a set of bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held(bits, np.asarray(batch.column(0)))))
+
+    return run
+
+
+def tiles(rows: DataFrame, key: str, hot: int) -> DataFrame:
+    """rows (key, sig, ...) with columns own, i, j: those of a key of more than `hot` rows are in groups by sig (own), each group in a tile (i, j) with itself and with
+    every other one; the rows of other keys are in the one tile (0, 0). Every two rows of a key meet in one tile: i is the own group of one of them, j of the other."""
+    over = rows.groupBy(key).count().where(F.col("count") > hot).select(key, F.ceil(F.col("count") / hot).cast("int").alias("parts"))
+    rows = rows.join(over, key, "left").withColumn("own", F.pmod("sig", F.coalesce("parts", F.lit(1))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other", "parts")
+
+
 def vocabulary(rows: DataFrame, share: float) -> tuple[list[str], list[int], int]:
     """Tokens in at least `share` of the texts, in how many, and the number of texts. Counted over all texts."""
     total = rows.count()
@@ -221,8 +243,9 @@ class NearDuplicates:
         """Pairs of classes (a < b) that share a band, those of overfull buckets found by prefixes instead; without repeats."""
         spark = self.base.sparkSession
         names, counts, total = vocabulary(self.base, self.share)
-        idf = np.log(1 + total / np.maximum(np.array(counts, float), total * self.share)) if names else np.empty(0)
-        rare = math.log(1 + 1 / self.share)
+        least = max(1.0, total * self.share)  # texts that the rarest shingles count as being in
+        idf = np.log(1 + total / np.maximum(np.array(counts, float), least)) if names else np.empty(0)
+        rare = math.log(1 + total / least)
         rows = self.base.select("sig", "doc").mapInArrow(_bands(pa.array(names, pa.string()), idf, rare, self.bands, self.rows, self.seed), "key bigint, sig bigint")
         sorted_ = rows.repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "sig")
         found = stage(sorted_.mapInArrow(_bucket_pairs(BUCKET), "key bigint, a bigint, b bigint"), "near")
@@ -233,28 +256,40 @@ class NearDuplicates:
         return pairs.distinct()
 
     def _by_prefix(self, sigs: DataFrame, names: list[str], counts: list[int]) -> DataFrame:
-        """All pairs of `sigs` that may reach the similarity: they share one of their rarest shingles (a prefix that
-        is long enough for it, so no pair is lost). Buckets of many look-alikes hold frequent shingles; those come last."""
+        """All pairs of `sigs` that may reach the similarity: they share one of their rarest shingles (a prefix that is long
+        enough for it, so no pair is lost), and what follows it in both is long enough for the rest of the overlap that they need.
+        Buckets of many look-alikes hold frequent shingles; those come last. A shingle of many texts is split into tiles."""
         spark = self.base.sparkSession
         known = spark.createDataFrame(list(zip(names, counts)), "s string, f long")
-        docs = self.base.join(sigs, "sig", "left_semi").dropDuplicates(["sig"]).select("sig", F.split("doc", " ").alias("w"))
-        docs = docs.select("sig", F.size("w").alias("n"), F.explode("w").alias("s")).join(F.broadcast(known), "s", "left")
+        docs = self.base.join(sigs, "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "n", F.split("doc", " ").alias("w"))
+        docs = docs.select("sig", "n", F.explode("w").alias("s")).join(F.broadcast(known), "s", "left")
         docs = docs.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy(F.coalesce("f", F.lit(1)), "s")))
         need = F.ceil(F.col("n") * F.lit(self.least) - 1e-9)
-        prefix = docs.where(F.col("rank") <= F.col("n") - need + 1).select("sig", "n", F.xxhash64("s").alias("t"))
-        x, y = prefix.select(F.col("sig").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "t")
-        fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(self.least) - 1e-9)
-        return x.join(y, "t").where(fits).select("a", "b").distinct()
+        prefix = tiles(docs.where(F.col("rank") <= F.col("n") - need + 1).select("sig", "n", "rank", F.xxhash64("s").alias("t")), "t", HOT)
+        side = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("sig", "n", "rank", "own")]
+        both = prefix.select("t", "i", "j", *side(1)).join(prefix.select("t", "i", "j", *side(2)), ["t", "i", "j"])
+        once = (F.col("own1") == F.col("i")) & (F.col("own2") == F.col("j")) & ((F.col("i") < F.col("j")) | (F.col("sig1") < F.col("sig2")))
+        fits = F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(self.least) - 1e-9
+        rest = F.least(F.col("n1") - F.col("rank1"), F.col("n2") - F.col("rank2")) + 1
+        enough = rest >= (F.col("n1") + F.col("n2")) * F.lit(self.least / (1 + self.least)) - 1e-9
+        return both.where(once & fits & enough).select(F.least("sig1", "sig2").alias("a"), F.greatest("sig1", "sig2").alias("b")).distinct()
 
     def links(self) -> DataFrame:
         """a, b, similarity of classes, verified on their whole texts."""
-        docs = self.base.select("sig", "doc").dropDuplicates(["sig"])
-        x, y = docs.select(F.col("sig").alias("a"), F.col("doc").alias("x")), docs.select(F.col("sig").alias("b"), F.col("doc").alias("y"))
-        both = self.candidates().join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        found = stage(self.candidates(), "pairs")
+        bits = bit_set(found.select(F.explode(F.array("a", "b")).alias("sig")))
+        # Most texts are in no pair: they are left out before the texts are shuffled.
+        docs = self.base.select("sig", "n", "doc").mapInArrow(_wanted(bits), "sig bigint, n int, doc string").dropDuplicates(["sig"])
+        x, y = docs.select(F.col("sig").alias("a"), F.col("n").alias("nx"), F.col("doc").alias("x")), docs.select(F.col("sig").alias("b"), F.col("n").alias("ny"), F.col("doc").alias("y"))
+        fits = F.least("nx", "ny") >= F.greatest("nx", "ny") * F.lit(self.least) - 1e-9
+        both = found.join(x, "a").join(y, "b").where(fits).select("a", "b", "x", "y")
         return both.mapInArrow(_verified(self.least), "a bigint, b bigint, similarity double")
 
     def pairs(self) -> DataFrame:
-        """a, b, similarity for ids a < b: every pair of copies and of texts of linked classes."""
+        """a, b, similarity for ids a < b: every pair of copies and of texts of linked classes.
+
+        The result itself has n^2 / 2 rows for n copies of a text; adaptive execution splits such a class on both sides. groups() has no such rows.
+        """
         links = stage(self.links(), "links")
         m = self.members()
         across = links.join(m.select(F.col("sig").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("sig").alias("b"), F.col("id").alias("y")), "b")

@@ -45,19 +45,21 @@ def tokens(text: str, size: int = 1) -> list[str]:
 def _token_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sigs, docs = [], [], []
+            ids, sigs, sizes, docs = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                doc = " ".join(tokens(text, size))
-                if doc:
+                own = tokens(text, size)
+                if own:
+                    doc = " ".join(own)
                     ids.append(i)
+                    sizes.append(len(own))
                     docs.append(doc)
                     sigs.append(int.from_bytes(blake2b(doc.encode(), digest_size=8).digest(), "little", signed=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()), pa.array(docs, pa.string())], ["id", "sig", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(docs, pa.string())], ["id", "sig", "n", "doc"])
 
     return run
 
 
 def token_rows(texts: DataFrame, id_col: str, text_col: str, size: int = 1) -> DataFrame:
-    """id, sig, doc: each text's tokens joined by blanks, and their hash, the same for texts with the same tokens. Texts without a word are left out."""
+    """id, sig, n, doc: each text's tokens joined by blanks, their number and their hash, the same for texts with the same tokens. Texts without a word are left out."""
     rows = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_token_rows(size), "id bigint, sig bigint, doc string")
+    return rows.mapInArrow(_token_rows(size), "id bigint, sig bigint, n int, doc string")
