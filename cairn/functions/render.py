@@ -35,3 +35,8 @@ def goal_card(title: Column, description: Column, labels: Column, deadline: Colu
 def hit_line(rank: Column, key: Column, score: Column, content: Column) -> Column:
     """1. key (87%): content"""
     return F.concat(rank.cast("string"), F.lit(". "), short(key, 40), F.lit(" ("), percent(score), F.lit("): "), cut(F.regexp_replace(F.coalesce(content, F.lit("")), r"\s+", " "), 60, "…", 59))
+
+
+def time_text(seconds: Column) -> Column:
+    """2026-01-02 03:04:05 of whole seconds since 1970, in the session's zone."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")

@@ -59,8 +59,8 @@ def cut(text: Column, length: int, mark: str = "…", keep: int | None = None) -
 
 
 def prompt_cap(text: Column, most: int = 4000) -> Column:
-    """Texts of more than `most` bytes cut to `most` characters, with dots after them."""
-    return F.when(F.octet_length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+    """Texts of more than `most` characters cut to so many, with dots after them; others as they are."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
 
 
 def escape_html(text: Column) -> Column:

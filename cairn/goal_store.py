@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -9,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.api import Store
+from cairn.functions import text
 from cairn.operators import goals as ops
+from cairn.operators import models, timeline
+from cairn.operators.models import Model
+from cairn.session import file_system
+from cairn.sources.store import Sequence
 
 VERSION = f"{ops.GOAL}, seq bigint, deleted boolean"
 PATCH = "id string, title string, description string, status string, labels array<string>, priority int, progress int, deadline string, at timestamp"
@@ -19,15 +25,14 @@ class Goals:
     """An append-only log of goal versions; the last version of an id holds."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        spark.createDataFrame([], VERSION).write.mode("append").parquet(path)
+        self.spark, self.path, self.numbers = spark, path, Sequence()
 
     def _log(self) -> DataFrame:
-        return self.spark.read.schema(VERSION).parquet(self.path)
+        fs, p = file_system(self.spark, self.path)
+        return self.spark.read.schema(VERSION).parquet(self.path) if fs.exists(p) else self.spark.createDataFrame([], VERSION)
 
     def _append(self, goals: DataFrame, deleted: bool = False) -> None:
-        seq = (self._log().agg(F.max("seq")).first()[0] or 0) + 1
-        goals.withColumns({"seq": F.lit(seq).cast("bigint"), "deleted": F.lit(deleted)}).write.mode("append").parquet(self.path)
+        goals.withColumns({"seq": F.lit(self.numbers.next()).cast("bigint"), "deleted": F.lit(deleted)}).write.mode("append").parquet(self.path)
 
     def current(self) -> DataFrame:
         fields = [f.strip().split(" ")[0] for f in ops.GOAL.replace("array<string>", "a").split(",")]
@@ -65,25 +70,86 @@ class Goals:
         return ops.listed(self.current(), status, labels)
 
 
-def dispatcher(store: Store, goals: Goals) -> Callable[[dict], DataFrame | str]:
-    """A function that carries out commands (call and its arguments). Unknown calls give a message, not an error."""
+def dispatcher(store: Store, goals: Goals, events: Callable[[], DataFrame] | None = None, model: Model | None = None) -> Callable[[dict], DataFrame | str]:
+    """A function that carries out commands (call and its arguments). Unknown calls, and calls without what they need, give a message, not an error.
+
+    events: gives the event log (streaming.events.EVENT); model: answers prompts. A missing key or goal is a message too.
+    """
+
+    def need(c: dict, name: str, what: str) -> str:
+        if not c.get(name):
+            raise ValueError(f"no {what} given")
+        return c[name]
+
+    def log() -> DataFrame:
+        if events is None:
+            raise ValueError("there is no event log")
+        return events()
+
+    def asked() -> Model:
+        if model is None:
+            raise ValueError("there is no model")
+        return model
+
+    def limit(c: dict, otherwise: int) -> int:
+        n = c.get("limit") or c.get("row_limit") or 0
+        return n if n > 0 else otherwise
+
+    def labels(c: dict) -> list[str] | None:
+        raw = c.get("labels")
+        if raw is None or isinstance(raw, list):
+            return raw
+        return store.spark.range(1).select(text.loose_labels(F.lit(raw)).alias("l")).first()["l"]
+
+    def note(c: dict) -> str:
+        body = c.get("content") or c.get("text") or ""
+        try:
+            json.loads(body)
+        except ValueError:
+            body = json.dumps({"content": body, "summary": c.get("title") or body.split("\n", 1)[0], "tags": labels(c) or []}, ensure_ascii=False)
+        return store.save(c.get("key") or "", body, auto_key=not c.get("key"))
+
+    def found(c: dict) -> DataFrame:
+        query = need(c, "query", "query")
+        return store.search(query, limit(c, 10)) if store.embed else store.find(query, limit(c, 20))
+
+    def extract(c: dict) -> DataFrame:
+        rows = store.spark.createDataFrame([("1", c.get("text") or c.get("content") or "")], "id string, text string")
+        return models.extract_facts(rows, asked())
+
     calls: dict[str, Callable[[dict], DataFrame | str]] = {
+        "": lambda c: c.get("answer") or "",
         "answer": lambda c: c.get("answer") or "",
-        "search": lambda c: store.find(c.get("query") or "", c.get("limit") or 20),
-        "memory_get": lambda c: store.get(c.get("key") or ""),
-        "save_note": lambda c: store.save(c.get("key") or "", c.get("content") or "{}", auto_key=not c.get("key")),
-        "delete": lambda c: store.delete(c.get("key") or "") or "deleted",
-        "create_goal": lambda c: goals.create(c.get("title") or "", c.get("description") or "", c.get("labels"), c.get("priority", 5), c.get("deadline") or ""),
-        "update_goal": lambda c: goals.update(c.get("goal_id") or "", **{k: c[k] for k in ("title", "description", "status", "labels", "priority", "progress", "deadline") if c.get(k) is not None}) or "updated",
-        "delete_goal": lambda c: goals.delete(c.get("goal_id") or "") or "deleted",
-        "list_goals": lambda c: goals.list(c.get("status") or "", c.get("labels")),
-        "dig": lambda c: store.dig(c.get("query") or "", c.get("keywords") or [], c.get("window") or "", c.get("limit") or 10),
+        "search": found,
+        "find": lambda c: store.find(need(c, "query", "query"), limit(c, 20)),
+        "get_memory": lambda c: store.get(need(c, "key", "key")),
+        "memory_get": lambda c: store.get(need(c, "key", "key")),
+        "save_note": note,
+        "delete_memory": lambda c: store.delete(need(c, "key", "key")) or "deleted",
+        "delete": lambda c: store.delete(need(c, "key", "key")) or "deleted",
+        "create_goal": lambda c: goals.create(c.get("title") or "", c.get("content") or c.get("description") or "", labels(c), c.get("priority", 5), c.get("deadline") or ""),
+        "get_goal": lambda c: goals.get(need(c, "goal_id", "goal id")),
+        "update_goal": lambda c: goals.update(need(c, "goal_id", "goal id"), **{k: c[k] for k in ("title", "description", "status", "priority", "progress", "deadline") if c.get(k) is not None} | ({"labels": labels(c)} if c.get("labels") else {})) or "updated",
+        "delete_goal": lambda c: goals.delete(need(c, "goal_id", "goal id")) or "deleted",
+        "list_goals": lambda c: goals.list(c.get("status") or "active", labels(c)),
+        "get_timeline": lambda c: timeline.between(log(), c.get("from") or c.get("time_from") or "", c.get("to") or c.get("time_to") or "", limit(c, 10)),
+        "get_context": lambda c: store.context(c.get("query") or "", goals.current(), limit(c, 5)),
+        "suggest": lambda c: models.suggest(goals.current(), log(), asked(), c.get("query") or "", limit(c, 5), c.get("lang") or "en"),
+        "extract": extract,
+        "dig": lambda c: store.dig(need(c, "query", "query"), c.get("keywords") or [], c.get("window") or "", limit(c, 10)),
         "session_get": lambda c: store.session(c.get("project") or ""),
         "list": lambda c: store.list(c.get("prefix") or ""),
     }
 
     def run(command: dict) -> DataFrame | str:
         call = calls.get(command.get("call") or "")
-        return call(command) if call else f"unknown command: {command.get('call')}"
+        if not call:
+            return f"unknown command: {command.get('call')}"
+        try:
+            return call(command)
+        except KeyError as e:
+            return f"not found: {e.args[0]}"
+        except ValueError as e:
+            return f"failed: {e}"
 
     return run

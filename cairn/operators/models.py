@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import auto_key, between, prompt_cap, repaired_json, trim_all
+from cairn.operators import goals as goal_ops
+from cairn.operators import timeline as timeline_ops
 
 FACTS = "array<struct<content: string, summary: string, tags: array<string>>>"
 SUGGESTIONS = "array<struct<type: string, title: string, description: string, priority: int>>"
@@ -57,6 +59,35 @@ def suggestions(answer: Column, limit: int = 5) -> Column:
     return F.slice(array_of(repaired_json(answer), SUGGESTIONS), 1, limit)
 
 
+def suggestion_prompt(goals: DataFrame, events: DataFrame, context: str, limit: int = 5, lang: str = "en") -> DataFrame:
+    """One row (id, prompt): asks for suggestions about a context, with the active goals (1000 at most) and the five newest events."""
+    none = F.lit("")
+    g = goal_ops.listed(goals, "active").withColumn("k", F.row_number().over(Window.orderBy(F.desc("priority"), F.desc("created_at"), "id")))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    sign = F.when(F.col("progress") >= 100, "✓").otherwise("⏳")
+    goal = F.concat(sign, F.lit(" "), F.coalesce("title", none), F.lit(": "), F.coalesce("description", none), F.lit(" (progress: "), number("progress"), F.lit("%, priority: "), number("priority"), F.lit(")"))
+    e = timeline_ops.as_values(timeline_ops.between(events, limit=5)).withColumn("k", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))))
+    newest = timeline_ops.lines(e).join(e.select("id", "k"), "id").select("k", "line")
+    joined = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", rows))), lambda s: s["x"]), "\n")
+    both = g.select("k", goal.alias("x")).agg(joined("x").alias("goals")).crossJoin(newest.select("k", F.col("line").alias("x")).agg(joined("x").alias("events")))
+    ask = f"Context: {context}\nAnswer in the language {lang}. Suggest {limit} things at most, as a JSON array of objects with type (reminder, followup, goal_next_step or insight), title, description and priority (0 to 10)."
+    return both.select(F.lit("suggest").alias("id"), F.concat(F.lit(ask + "\n\nActive goals:\n"), "goals", F.lit("\n\nRecent activity:\n"), "events").alias("prompt"))
+
+
+def suggest(goals: DataFrame, events: DataFrame, model: Model, context: str, limit: int = 5, lang: str = "en") -> DataFrame:
+    """position, type, title, description, priority that a model suggests: five for a limit of 0 or less. An answer that cannot be read gives none."""
+    limit = limit if limit > 0 else 5
+    asked = answers(suggestion_prompt(goals, events, context, limit, lang), model)
+    return asked.select(F.posexplode(suggestions(F.col("answer"), limit)).alias("position", "s")).select("position", "s.type", "s.title", "s.description", "s.priority")
+
+
+def answered_questions(questions: DataFrame, model: Model) -> DataFrame:
+    """id, question, answer of questions (id, question, context): a model answers each from its context, which may be empty or null. Blank questions are not asked."""
+    ask = F.concat(F.lit("Answer the question from the notes; say so if they do not hold the answer.\n\nNotes:\n"), F.coalesce("context", F.lit("")), F.lit("\n\nQuestion: "), F.col("question"))
+    asked = answers(questions.select("id", F.when(trim_all(F.coalesce("question", F.lit(""))) != "", ask).alias("prompt")), model)
+    return questions.select(F.col("id").cast("string").alias("id"), "question").join(asked.select("id", "answer"), "id", "left")
+
+
 def conversation(turns: DataFrame) -> DataFrame:
     """id, text of turns (id, said, answered); turns that are blank on both sides are left out."""
     said, answered = F.coalesce("said", F.lit("")), F.coalesce("answered", F.lit(""))

@@ -13,6 +13,8 @@ from cairn.functions.text import cut, keyword_patterns, like_any
 
 #: Vectors that are multiplied with others at once.
 BLOCK = 1024
+#: Lines and columns of cells in which blocks of queries and rows meet.
+GRID = 8
 
 
 def clamp(limit: int, default: int, most: int) -> int:
@@ -52,6 +54,12 @@ def with_values(found: DataFrame, values: DataFrame, width: int = 200) -> DataFr
     return found.join(v, "key", "left").select("key", "score", cut(text, width).alias("content"))
 
 
+def as_json(found: DataFrame, kv: DataFrame) -> DataFrame:
+    """json of each hit (key, score), best first: key, score and the whole value, which is null where there is none."""
+    rows = found.join(kv.select("key", "value"), "key", "left")
+    return rows.orderBy(F.desc("score"), "key").select(F.to_json(F.struct("key", "score", "value")).alias("json"))
+
+
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, vector) in blocks: arrays of ids and of the vectors' numbers, unit length; rows of zero vectors are left out."""
     for whole in batches:
@@ -84,16 +92,21 @@ def _best(k: int):
     return run
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, grid: int = GRID) -> DataFrame:
     """query_id, id, score, rank: the k rows most similar to each query, by cosine, ties by id. queries, rows: id (bigint), vector (array<float>, one dimension).
 
     Both sides are packed in blocks, every block of queries meets every block of rows in one matrix product, which keeps k rows for each
     query; what is shuffled is k rows for each query and block, never all pairs.
+
+    Blocks meet on a grid of `grid` x `grid` cells: a block of queries goes to one line of cells, a block of rows to one column, so that the work is
+    even over the cells and each side is copied `grid` times, whatever its size.
     """
     pack = lambda df: df.where(F.col("vector").isNotNull()).select("id", "vector").mapInArrow(_block, "ids array<bigint>, numbers array<double>, d int")
-    q = pack(queries).select(F.col("ids").alias("qi"), F.col("numbers").alias("q"), "d")
-    r = pack(rows).select(F.col("ids").alias("ri"), F.col("numbers").alias("r"), F.col("d").alias("d2"))
-    met = q.join(r, F.col("d") == F.col("d2")).select("qi", "q", "d", "ri", "r")
+    cells = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
+    line = lambda ids: F.pmod(F.xxhash64(ids), F.lit(grid)).cast("int")
+    q = pack(queries).select(F.col("ids").alias("qi"), F.col("numbers").alias("q"), "d", line("ids").alias("x"), cells.alias("y"))
+    r = pack(rows).select(F.col("ids").alias("ri"), F.col("numbers").alias("r"), "d", cells.alias("x"), line("ids").alias("y"))
+    met = q.hint("shuffle_hash").join(r, ["d", "x", "y"]).select("qi", "q", "d", "ri", "r")
     best = met.mapInArrow(_best(k), "query_id bigint, id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

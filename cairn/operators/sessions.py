@@ -33,3 +33,8 @@ def expired(rows: DataFrame, now: datetime, age: timedelta = timedelta(days=7))
 
 def compacted(rows: DataFrame, now: datetime, age: timedelta = timedelta(days=7)) -> DataFrame:
     return rows.join(expired(rows, now, age).select("key").distinct(), "key", "left_anti")
+
+
+def compact_count(rows: DataFrame, now: datetime, age: timedelta = timedelta(days=7)) -> DataFrame:
+    """One row, removed: how many rows compacted() leaves out."""
+    return rows.join(expired(rows, now, age).select("key").distinct(), "key", "left_semi").agg(F.count("*").alias("removed"))

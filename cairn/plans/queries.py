@@ -91,9 +91,8 @@ def kv_auto_key(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def kv_get(spark: SparkSession, folder: str) -> DataFrame:
-    kv = adapters.memories(spark, folder)
-    first = kv.agg(F.min("key").alias("key"))
-    return kv.join(F.broadcast(first), "key", "left_semi")
+    first = adapters.memory_log(spark, folder).agg(F.min("key")).first()[0]
+    return store.get(adapters.memories(spark, folder), first or "")
 
 
 @query
@@ -241,7 +240,8 @@ def goal_current(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def goal_get(spark: SparkSession, folder: str) -> DataFrame:
     g = adapters.goals(spark, folder)
-    return g.join(F.broadcast(g.agg(F.max("id").alias("id"))), "id", "left_semi").select("id", "title", "status")
+    last = g.agg(F.max("id")).first()[0]
+    return goals.get(g, last or "").select("id", "title", "status")
 
 
 @query
@@ -257,7 +257,7 @@ def goal_list_label(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def goal_create(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "agent_commands").where(F.col("call") == "create_goal")
-    asked = c.select(F.concat(F.lit("goal/"), F.date_format("received_at", "yyyy-MM-dd"), F.lit("/"), F.col("command_id").cast("string")).alias("id"), F.coalesce("title", F.lit("")).alias("title"), F.col("content").alias("description"), text.given_labels(F.col("labels")).alias("labels"), goals.clamped(F.col("priority")).alias("priority"), "deadline", F.col("received_at").alias("created_at"))
+    asked = c.select(F.concat(F.lit("goal/"), F.date_format("received_at", "yyyy-MM-dd"), F.lit("/"), F.col("command_id").cast("string")).alias("id"), F.coalesce("title", F.lit("")).alias("title"), F.concat(F.coalesce("content", F.lit("")), F.when(F.col("command_id") % 2 == 0, "\n- [x] one\n* [ ] two\n+ [X] three").otherwise("")).alias("description"), text.given_labels(F.col("labels")).alias("labels"), goals.clamped(F.col("priority")).alias("priority"), "deadline", F.col("received_at").alias("created_at"))
     return goals.created(asked).select("id", "title", "status", F.array_join("labels", ",").alias("labels"), "priority", "progress")
 
 
@@ -349,6 +349,12 @@ def session_compact(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.compacted(rows, NOW, timedelta(days=30)).select("key")
 
 
+@query
+def session_compact_count(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sessions.saved(adapters.sessions(spark, folder)).groupBy("key").agg(F.max("created_at").alias("created_at"))
+    return sessions.compact_count(rows, NOW, timedelta(days=30))
+
+
 # Graph.
 
 
@@ -376,8 +382,12 @@ def graph_reach(spark: SparkSession, folder: str) -> DataFrame:
 # Context.
 
 
-def _context(spark: SparkSession, folder: str) -> DataFrame:
-    return context.memories(adapters.vectors(spark, folder), adapters.vector_values(spark, folder), _first_vector(spark, folder), 8)
+def _context(spark: SparkSession, folder: str, limit: int = 8) -> DataFrame:
+    return context.memories(adapters.vectors(spark, folder), adapters.vector_values(spark, folder), _first_vector(spark, folder), limit)
+
+
+def _context_lines(spark: SparkSession, folder: str, limit: int = 8) -> DataFrame:
+    return context.lines(_context(spark, folder, limit), adapters.goals(spark, folder), context.reminders(adapters.memories(spark, folder), NOW))
 
 
 @query
@@ -392,7 +402,12 @@ def context_reminders(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def context_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return context.lines(_context(spark, folder), adapters.goals(spark, folder), context.reminders(adapters.memories(spark, folder), NOW))
+    return _context_lines(spark, folder)
+
+
+@query
+def context_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return context.counts(adapters.vectors(spark, folder), adapters.vector_values(spark, folder), adapters.goals(spark, folder), _first_vector(spark, folder), 8)
 
 
 # Views and lines for people to read.
@@ -410,20 +425,23 @@ def resource_timeline(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def resource_insights(spark: SparkSession, folder: str) -> DataFrame:
-    return resources.insights(adapters.goals(spark, folder), adapters.timeline(spark, folder))
+    return resources.insights(adapters.goals(spark, folder), adapters.timeline(spark, folder), _ideas)
+
+
+@query
+def suggest_prompt(spark: SparkSession, folder: str) -> DataFrame:
+    return models.suggestion_prompt(adapters.goals(spark, folder), adapters.timeline(spark, folder), "now", 3, "ru").select("prompt")
 
 
 @query
 def resource_awareness(spark: SparkSession, folder: str) -> DataFrame:
-    lines = context.lines(_context(spark, folder), adapters.goals(spark, folder), context.reminders(adapters.memories(spark, folder), NOW))
-    return resources.awareness(adapters.goals(spark, folder), adapters.timeline(spark, folder), lines)
+    return resources.awareness(adapters.goals(spark, folder), adapters.timeline(spark, folder), context.text(_context_lines(spark, folder, 10), NOW))
 
 
 @query
 def context_text(spark: SparkSession, folder: str) -> DataFrame:
     """The whole text that is put before a question, as one row."""
-    lines = context.lines(_context(spark, folder), adapters.goals(spark, folder), context.reminders(adapters.memories(spark, folder), NOW))
-    return context.text(lines, NOW)
+    return context.text(_context_lines(spark, folder), NOW)
 
 
 @query
@@ -447,8 +465,11 @@ def classify(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def greetings(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole messages, greetings, and messages after a greeting."""
     m = adapters.messages(spark, folder).where(F.col("text").isNotNull())
-    return m.select("command_id", messages.is_greeting(F.concat(F.element_at(F.array(*[F.lit(g) for g in messages.GREETINGS]), (F.col("command_id") % len(messages.GREETINGS) + 1).cast("int")), F.left("text", F.lit(4)))).alias("greeting"), messages.interface_language(F.col("lang")).alias("language"))
+    word = F.element_at(F.array(*[F.lit(g) for g in messages.GREETINGS]), (F.col("command_id") % len(messages.GREETINGS) + 1).cast("int"))
+    said = F.when(F.col("command_id") % 3 == 0, F.col("text")).when(F.col("command_id") % 3 == 1, word).otherwise(F.concat(word, F.lit(" "), "text"))
+    return m.select("command_id", messages.is_greeting(said).alias("greeting"), messages.interface_language(F.col("lang")).alias("language"))
 
 
 @query
@@ -516,6 +537,24 @@ def extracted_facts(spark: SparkSession, folder: str) -> DataFrame:
     return models.facts_as_values(models.extract_facts(m, _echo), F.lit(NOW)).select("key", "content", "summary", "source")
 
 
+@query
+def question_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """What a stand-in for a model says to each message as a question without notes."""
+    m = adapters.messages(spark, folder).select(F.col("command_id").alias("id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("context"))
+    return models.answered_questions(m, _asked).select("id", "answer")
+
+
+def _asked(prompts: list[str]) -> list[str]:
+    return ["asked: " + p.split("\n\nQuestion: ", 1)[1] for p in prompts]
+
+
+def _ideas(prompts: list[str]) -> list[str]:
+    import json
+
+    seen = [f"{p.count('(progress: ')} goals, {len([x for x in p.split('Recent activity:', 1)[1].splitlines() if x.startswith('[20')])} events" for p in prompts]
+    return [json.dumps([{"type": "insight", "title": t, "description": str(k), "priority": k} for k in range(7)]) for t in seen]
+
+
 def _echo(prompts: list[str]) -> list[str]:
     import json
 

@@ -2,8 +2,42 @@
 
 from __future__ import annotations
 
-from cairn.functions import messages
-from cairn.functions.text import LOWER, UPPER, keyword_patterns
+# Nothing of the code under test is imported: what must be the same is written out here again.
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: LIKE patterns of the keywords that are looked for.
+PATTERNS = {"backup": ["%backup%"], "архив": ["%архив%", "%Архив%"], "Vector_s%quiet": ["%vector_s%quiet%"]}
+#: Beginnings of questions.
+QUESTION = [
+    "что", "как", "где", "когда", "почему", "зачем", "кто", "чей", "сколько",
+    "какой", "какая", "какие", "какое",
+    "what", "how", "where", "when", "why", "who", "whose", "which", "whom",
+    "расскажи", "напомни", "найди", "поищи",
+    "tell me", "show me", "find", "search", "remind",
+]
+#: Phrases of commands, in the order in which they are tried.
+COMMANDS = {
+    "goals": ["покажи цели", "мои цели", "список целей", "какие цели", "активные цели", "все цели", "show goals", "my goals", "list goals", "active goals", "what goals"],
+    "suggest": ["что делать", "чем заняться", "что дальше", "подскажи", "посоветуй", "следующие шаги", "what to do", "next steps", "suggest", "what next", "what now"],
+    "context": ["покажи контекст", "какой контекст", "текущий контекст", "контекст", "show context", "what context", "current context"],
+    "timeline": ["последние события", "что было", "лента", "недавнее", "история", "покажи события", "recent events", "what happened", "timeline", "recent activity", "history"],
+    "digest": ["сводка за день", "сводка за неделю", "сводка за месяц", "итоги дня", "дайджест", "daily summary", "weekly summary", "monthly summary", "digest", "summary"],
+    "search": ["найди", "поищи", "поиск", "напомни про", "что я знаю о", "search for", "find", "remind me about", "what do I know about"],
+}
+#: Beginnings of goals, and marks anywhere in them.
+GOAL = [
+    "хочу", "нужно", "надо", "необходимо", "планирую", "собираюсь",
+    "задача", "цель", "todo", "to-do",
+    "i want", "i need", "i will", "goal", "objective", "task",
+    "сделать", "создать", "написать", "реализовать", "добавить",
+    "make", "create", "implement", "add", "fix", "build",
+]
+GOAL_MARKS = ["цель:", "goal:"]
+#: Words of high and of low priority; the high ones are looked for first.
+HIGH = ["срочно", "важно", "критично", "немедленно", "asap", "urgent", "important", "high priority", "critical", "блокер"]
+LOW = ["не срочно", "неважно", "low priority", "когда-нибудь", "потом", "некритично", "необязательно"]
+#: Greetings.
+GREETINGS = ["привет", "здравствуй", "здрасте", "даров", "ку", "хай", "hello", "hi", "hey", "good morning", "good evening", "help", "хелп", "что ты умеешь", "what can you do"]
 
 # Shapes of the tables, twins of sources/adapters.py.
 
@@ -56,11 +90,41 @@ _EDGES = """edge AS (
     )"""
 _SCORES = """q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1),
     scored AS (SELECT 'memory/vec/' || vec_id AS key, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q)"""
+#: The best hits of a question with their values, numbered without those that have none, and the active goals.
+_CONTEXT = f"""{_SCORES}, {_GOALS}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, key) AS rank FROM scored QUALIFY rank <= MOST_HITS),
+    hit AS (
+        SELECT row_number() OVER (ORDER BY rank) AS k, rank, key, score, text AS content, coalesce(project, '') AS summary, created_at, list_filter([kind, source], lambda x: x IS NOT NULL) AS tags,
+            CASE WHEN doc_id % 3 = 0 THEN 'goal/' || doc_id END AS goal_id FROM top JOIN documents ON 'memory/vec/' || doc_id = key
+    ), act AS (
+        SELECT *, row_number() OVER (ORDER BY priority DESC, created_at DESC, id) AS k FROM (SELECT * FROM goal WHERE status = 'active' ORDER BY priority DESC, created_at DESC, id LIMIT 1000)
+    ), late AS (
+        SELECT row_number() OVER (ORDER BY received_at DESC, id DESC) AS k, id,
+            '[' || strftime(received_at AT TIME ZONE 'UTC', '%Y-%m-%d') || '] ' || coalesce(key, '') || ': ' || CASE WHEN length(summary) > 80 THEN left(summary, 80) || '…' ELSE coalesce(summary, '') END AS line
+        FROM timeline_events QUALIFY k <= 5
+    )"""
+#: The same, with the lines of all sections.
+_LINES = f"""{_CONTEXT}, {_KV}, lines AS (
+        SELECT 1 AS section, k AS position, k || '. [' || strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') || '] ' || coalesce(content, '') || ' (score: ' || printf('%.2f', score) || ')'
+            || CASE WHEN summary <> '' THEN chr(10) || '   Summary: ' || summary ELSE '' END || CASE WHEN len(tags) > 0 THEN chr(10) || '   Tags: ' || array_to_string(tags, ', ') ELSE '' END
+            || CASE WHEN goal_id IS NOT NULL THEN chr(10) || '   Goal: ' || goal_id ELSE '' END AS line FROM hit
+        UNION ALL SELECT 2, k, k || '. ' || coalesce(title, '') || ' [' || coalesce(progress, 0) || '%] priority=' || coalesce(priority, 0) || ' deadline=' || coalesce(deadline, '')
+            || CASE WHEN coalesce(description, '') <> '' THEN chr(10) || '   ' || description ELSE '' END FROM act
+        UNION ALL SELECT 3, 0, '- [' || key || '] ' || coalesce(value, '') FROM kv WHERE starts_with(key, 'memory/reminder/') AND key NOT LIKE '%/'
+            AND (try_cast(split_part(key, '/', 3) AS DATE) IS NULL OR split_part(key, '/', 4) = '' OR try_cast(split_part(key, '/', 3) AS DATE) >= TIMESTAMP '2026-05-31 12:00:00')
+            AND EXISTS (SELECT 1 FROM hit UNION ALL SELECT 1 FROM act)
+    ), whole AS (
+        SELECT CASE WHEN count(*) > 0 THEN '2026-06-01 12:00:00' || chr(10) || string_agg(head || chr(10) || body, chr(10) ORDER BY section) ELSE '' END AS text FROM (
+            SELECT section, ['=== Relevant memories ===', chr(10) || '=== Active goals ===', chr(10) || '=== Upcoming reminders ==='][section] AS head, string_agg(line, chr(10) ORDER BY position, line) AS body FROM lines GROUP BY section)
+    )"""
+def _for(sql: str, hits: int) -> str:
+    return sql.replace("MOST_HITS", str(hits))
+
+
 _NOW = "TIMESTAMPTZ '2026-06-01 12:00:00+00'"
 
 
 def _like(column: str, word: str) -> str:
-    return "(" + " OR ".join(f"translate({column}, '{UPPER}', '{LOWER}') LIKE '{p}'" for p in keyword_patterns(word)) + ")"
+    return "(" + " OR ".join(f"translate({column}, '{UPPER}', '{LOWER}') LIKE '{p}'" for p in PATTERNS[word]) + ")"
 
 
 def _match(word: str) -> str:
@@ -82,14 +146,15 @@ _DIG = f"""WITH {_KV}, m AS (SELECT key AS match_key, created_at AS match_at FRO
         SELECT match_key, match_at, key, value, created_at, row_number() OVER (PARTITION BY match_key ORDER BY created_at, key) AS n
         FROM m JOIN kv ON created_at BETWEEN match_at - INTERVAL 1 DAY AND match_at + INTERVAL 1 DAY
     ), e AS (SELECT *, CAST(epoch(created_at) - epoch(match_at) AS BIGINT) AS delta, {_HITS.format("key || ' ' || value")} AS hits FROM w WHERE n <= 20 AND key <> match_key)"""
+_HTML = "replace(replace(replace({0}, '&', '&#38;'), '<', '&#60;'), '>', '&#62;')"
 _SUBTASK = r"(?m)^\s*[-*+]\s+\[([ xX])\]"
 _MARKS = f"regexp_extract_all(coalesce(description, ''), '{_SUBTASK}', 1)"
 _CLASS = rf"""WITH t AS (SELECT command_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM agent_commands WHERE text IS NOT NULL), l AS (SELECT *, lower(t) AS low, position(chr(10) IN t) AS nl FROM t),
     k AS (
-        SELECT *, ({_starts('low', messages.QUESTION)} OR t LIKE '%?') AS q,
-            CASE {' '.join(f"WHEN {_starts('low', w)} OR {_holds('low', [' ' + x for x in w])} THEN '{n}'" for n, w in messages.COMMANDS.items())} END AS c,
-            ({_starts('low', messages.GOAL)} OR {_holds('low', messages.GOAL_MARKS)}) AS g,
-            CASE WHEN {_holds('low', messages.HIGH)} THEN 9 WHEN {_holds('low', messages.LOW)} THEN 2 ELSE 5 END AS p,
+        SELECT *, ({_starts('low', QUESTION)} OR t LIKE '%?') AS q,
+            CASE {' '.join(f"WHEN {_starts('low', w)} OR {_holds('low', [' ' + x for x in w])} THEN '{n}'" for n, w in COMMANDS.items())} END AS c,
+            ({_starts('low', GOAL)} OR {_holds('low', GOAL_MARKS)}) AS g,
+            CASE WHEN {_holds('low', HIGH)} THEN 9 WHEN {_holds('low', LOW)} THEN 2 ELSE 5 END AS p,
             CASE WHEN nl > 0 THEN regexp_replace(left(t, nl - 1), '^\s+|\s+$', '', 'g') ELSE left(t, 80) END AS title,
             CASE WHEN nl > 0 THEN regexp_replace(substr(t, nl + 1), '^\s+|\s+$', '', 'g') ELSE t END AS rest,
             list_filter(list_transform(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w LIKE '#_%'), lambda w: lower(regexp_replace(substr(w, 2), '^[^\pL\p{{Nd}}_-]+|[^\pL\p{{Nd}}_-]+$', '', 'g'))), lambda w: w <> '') AS tags
@@ -139,8 +204,9 @@ ORACLE: dict[str, str] = {
     "goal_get": f"WITH {_GOALS} SELECT id, title, status FROM goal WHERE id = (SELECT max(id) FROM goal)",
     "goal_list": f"WITH {_GOALS} SELECT id, title, priority, progress FROM goal WHERE status = 'active' ORDER BY priority DESC, created_at DESC, id LIMIT 1000",
     "goal_list_label": f"WITH {_GOALS}, h AS (SELECT * FROM goal WHERE list_contains(list_transform(labels, lambda x: translate(x, '{UPPER}', '{LOWER}')), 'project') ORDER BY priority DESC, created_at DESC, id LIMIT 1000) SELECT id, array_to_string(labels, ',') AS labels FROM h",
-    "goal_create": f"""SELECT 'goal/' || strftime(received_at AT TIME ZONE 'UTC', '%Y-%m-%d') || '/' || command_id AS id, title, 'active' AS status, coalesce(array_to_string({_labels('labels')}, ','), '') AS labels,
-        greatest(0, least(10, priority)) AS priority, 0 AS progress FROM agent_commands WHERE call = 'create_goal' AND coalesce(title, '') <> '' AND coalesce(content, '') NOT LIKE '%- [%'""",
+    "goal_create": f"""WITH c AS (SELECT *, coalesce(content, '') || CASE WHEN command_id % 2 = 0 THEN chr(10) || '- [x] one' || chr(10) || '* [ ] two' || chr(10) || '+ [X] three' ELSE '' END AS description FROM agent_commands WHERE call = 'create_goal' AND coalesce(title, '') <> '')
+        SELECT 'goal/' || strftime(received_at AT TIME ZONE 'UTC', '%Y-%m-%d') || '/' || command_id AS id, title, 'active' AS status, coalesce(array_to_string({_labels('labels')}, ','), '') AS labels,
+        greatest(0, least(10, priority)) AS priority, CAST(CASE WHEN len({_MARKS}) > 0 THEN floor(len(list_filter({_MARKS}, lambda m: lower(m) = 'x')) * 100 / len({_MARKS})) ELSE 0 END AS INTEGER) AS progress FROM c""",
     "goal_update": f"""WITH {_GOALS} SELECT id, title, CASE WHEN status = 'completed' THEN 'archived' ELSE status END AS status, CASE WHEN status = 'completed' THEN 'x' ELSE array_to_string(labels, ',') END AS labels, priority,
         CASE WHEN status = 'completed' THEN 66 ELSE progress END AS progress, CASE WHEN status = 'completed' THEN {_NOW} ELSE updated_at END AS updated_at FROM goal""",
     "goal_delete": f"WITH {_GOALS} SELECT id, status FROM goal WHERE coalesce(status, '') <> 'archived'",
@@ -162,6 +228,7 @@ ORACLE: dict[str, str] = {
     "session_save": f"WITH {_SESSIONS} SELECT key, count(*) AS versions FROM saved GROUP BY key",
     "session_latest": f"WITH {_SESSIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, n DESC) AS k FROM s) SELECT project, data, created_at FROM r WHERE k = 1",
     "session_list": f"WITH {_SESSIONS} SELECT DISTINCT 'session/project/' || split_part(key, '/', 3) || '/' AS entry FROM saved",
+    "session_compact_count": f"WITH {_SESSIONS}, r AS (SELECT key, max(created_at) AS created_at FROM saved GROUP BY key) SELECT count(*) AS removed FROM r WHERE NOT (key LIKE '%/latest' OR created_at >= {_NOW} - INTERVAL 30 DAY)",
     "session_compact": f"WITH {_SESSIONS}, r AS (SELECT key, max(created_at) AS created_at FROM saved GROUP BY key) SELECT key FROM r WHERE key LIKE '%/latest' OR created_at >= {_NOW} - INTERVAL 30 DAY",
     "graph_edges": f"WITH {_EDGES} SELECT * FROM edge WHERE contains(src, 'NATION_1') OR contains(dst, 'NATION_1')",
     "graph_neighbours": f"""WITH {_EDGES}, e AS (SELECT * FROM edge WHERE contains(src, 'NATION_1') OR contains(dst, 'NATION_1') ORDER BY 'memory/graph/2026-01-01-' || src || '-' || dst || '-' || relation LIMIT 500)
@@ -180,17 +247,35 @@ ORACLE: dict[str, str] = {
         CASE WHEN length(title) > 40 THEN left(title, 39) || '…' ELSE coalesce(title, '') END AS line FROM f""",
     "resource_timeline": """WITH t AS (SELECT * FROM timeline_events ORDER BY received_at DESC, id DESC LIMIT 50)
         SELECT 'timeline' AS section, CAST(row_number() OVER (ORDER BY received_at DESC, id DESC) AS INTEGER) AS position,
-        '[' || strftime(received_at AT TIME ZONE 'UTC', '%Y-%m-%d') || '] ' || coalesce(key, '') || ': ' || CASE WHEN length(summary) > 80 THEN left(summary, 80) || '…' ELSE coalesce(summary, '') END AS line FROM t QUALIFY position <= 20""",
-    "resource_insights": f"""WITH {_GOALS}, a AS (SELECT 'statuses' AS section, coalesce(status, '') AS name, count(*) AS n FROM goal GROUP BY ALL UNION ALL SELECT 'types', coalesce(event_type, ''), count(*) FROM timeline_events GROUP BY ALL)
-        SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY n DESC, name) AS INTEGER) AS position, name || ': ' || n AS line FROM a""",
+        '[' || strftime(received_at AT TIME ZONE 'UTC', '%Y-%m-%d') || '] ' || coalesce(key, '') || ': ' || CASE WHEN length(summary) > 80 THEN left(summary, 80) || '…' ELSE coalesce(summary, '') END AS line FROM t QUALIFY position <= 10""",
+    "resource_insights": f"""WITH {_for(_CONTEXT, 1)}, seen AS (SELECT (SELECT count(*) FROM act) || ' goals, ' || (SELECT count(*) FROM late) || ' events' AS t)
+        SELECT 'insights' AS section, CAST(k + 1 AS INTEGER) AS position, '{{"type":"insight","title":"' || t || '","description":"' || k || '","priority":' || k || '}}' AS line FROM seen, range(5) AS r(k)""",
+    "suggest_prompt": f"""WITH {_for(_CONTEXT, 1)} SELECT 'Context: now' || chr(10)
+        || 'Answer in the language ru. Suggest 3 things at most, as a JSON array of objects with type (reminder, followup, goal_next_step or insight), title, description and priority (0 to 10).' || chr(10) || chr(10) || 'Active goals:' || chr(10)
+        || coalesce((SELECT string_agg(CASE WHEN progress >= 100 THEN '✓' ELSE '⏳' END || ' ' || coalesce(title, '') || ': ' || coalesce(description, '') || ' (progress: ' || coalesce(progress, 0) || '%, priority: ' || coalesce(priority, 0) || ')', chr(10) ORDER BY k) FROM act), '')
+        || chr(10) || chr(10) || 'Recent activity:' || chr(10) || coalesce((SELECT string_agg(line, chr(10) ORDER BY k) FROM late), '') AS prompt""",
+    "resource_awareness": f"""WITH {_for(_LINES, 10)} SELECT text
+        || coalesce((SELECT chr(10) || chr(10) || '## Active Goals' || chr(10) || string_agg('- [' || coalesce(progress, 0) || '%] ' || coalesce(title, '') || ': ' || coalesce(description, '') || chr(10), '' ORDER BY k) FROM act), '')
+        || coalesce((SELECT chr(10) || chr(10) || '## Recent Activity' || chr(10) || string_agg('- ' || line || chr(10), '' ORDER BY k) FROM late), '') AS text FROM whole""",
+    "context_lines": f"WITH {_for(_LINES, 8)} SELECT * FROM lines",
+    "context_text": f"WITH {_for(_LINES, 8)} SELECT text FROM whole",
+    "context_counts": f"WITH {_for(_CONTEXT, 8)} SELECT (SELECT count(*) FROM top) AS total_count, (SELECT count(*) FROM hit) AS memories, (SELECT count(*) FROM act) AS goals",
+    "question_answers": "SELECT CAST(command_id AS VARCHAR) AS id, CASE WHEN trim(coalesce(text, '')) <> '' THEN 'asked: ' || text END AS answer FROM agent_commands",
+    "render_hits": f"""WITH {_for(_CONTEXT, 8)} SELECT rank || '. ' || CASE WHEN length(key) > 40 THEN left(key, 37) || '...' ELSE key END || ' (' || printf('%.0f', score * 100) || '%): '
+        || CASE WHEN length(c) > 60 THEN left(c, 59) || '…' ELSE c END AS line FROM (SELECT *, regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g') AS c FROM hit)""",
+    "render_cards": f"""WITH {_GOALS} SELECT id, CASE WHEN length(body) > 4000 THEN left(body, 4000) || chr(10) || '...' ELSE body END AS card FROM (
+        SELECT id, '<b>' || {_HTML.format("coalesce(title, '')")} || '</b> ' || progress || '%' || chr(10) || {_HTML.format("coalesce(description, '')")} || chr(10)
+            || {_HTML.format("CASE WHEN len(labels) > 0 THEN array_to_string(labels, ', ') ELSE '—' END")} || CASE WHEN coalesce(deadline, '') <> '' THEN chr(10) || {_HTML.format('deadline')} ELSE '' END AS body FROM goal)""",
     "classify": _CLASS,
-    "greetings": f"""WITH t AS (SELECT command_id, {messages.GREETINGS}[command_id % {len(messages.GREETINGS)} + 1] || left(text, 4) AS t, lang FROM agent_commands WHERE text IS NOT NULL), l AS (SELECT *, lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS low FROM t)
-        SELECT command_id, strlen(t) < 20 AND ({' OR '.join(f"low = '{g}' OR starts_with(low, '{g} ') OR starts_with(low, '{g}!') OR starts_with(low, '{g}?')" for g in messages.GREETINGS)}) AS greeting,
+    "greetings": f"""WITH t AS (
+            SELECT command_id, CASE command_id % 3 WHEN 0 THEN text WHEN 1 THEN {GREETINGS}[command_id % {len(GREETINGS)} + 1] ELSE {GREETINGS}[command_id % {len(GREETINGS)} + 1] || ' ' || text END AS t, lang FROM agent_commands WHERE text IS NOT NULL
+        ), l AS (SELECT *, lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS low FROM t)
+        SELECT command_id, strlen(t) < 20 AND ({' OR '.join(f"low = '{g}' OR starts_with(low, '{g} ') OR starts_with(low, '{g}!') OR starts_with(low, '{g}?')" for g in GREETINGS)}) AS greeting,
         CASE WHEN lower(left(coalesce(lang, ''), 2)) IN ('', 'ru') THEN 'ru' ELSE 'en' END AS language FROM l""",
     "labels": f"SELECT command_id, coalesce(array_to_string({_labels('labels')}, ','), '') AS labels, CASE WHEN len({_labels('labels')}) > 0 THEN array_to_string({_labels('labels')}, ', ') ELSE '—' END AS shown FROM agent_commands",
     "text_forms": """SELECT command_id, CASE WHEN length(text) > 20 THEN left(text, 20) || '…' ELSE text END AS cut, CASE WHEN length(text) > 30 THEN left(text, 30) || '...' ELSE text END AS dots,
         CASE WHEN length(text) > 25 THEN left(text, 24) || '…' ELSE text END AS within, CASE WHEN length(text) > 24 THEN left(text, 21) || '...' ELSE text END AS short,
-        replace(replace(replace(text || ' <&>', '&', '&#38;'), '<', '&#60;'), '>', '&#62;') AS html, CASE WHEN strlen(repeat(text, 60)) > 4000 THEN left(repeat(text, 60), 4000) || '...' ELSE repeat(text, 60) END AS prompt FROM agent_commands""",
+        replace(replace(replace(text || ' <&>', '&', '&#38;'), '<', '&#60;'), '>', '&#62;') AS html, CASE WHEN length(repeat(text, 60)) > 4000 THEN left(repeat(text, 60), 4000) || '...' ELSE repeat(text, 60) END AS prompt FROM agent_commands""",
     "json_repair": r"""SELECT command_id, '[{"title":"' || regexp_replace(text, '[",}\]]', '', 'g') || '","type":"note"}]' AS json FROM agent_commands""",
     "suggestions": r"""SELECT command_id, 'note' AS type, regexp_replace(text, '[",}\]\\\[]', '', 'g') AS title, 3 AS priority FROM agent_commands""",
     "model_replies": "SELECT command_id, answer AS reply FROM agent_commands WHERE answer IS NOT NULL",

@@ -59,7 +59,7 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 def vector_values(spark: SparkSession, folder: str) -> DataFrame:
     """Values under the keys of vectors()."""
     d = table(spark, folder, "documents")
-    return d.select(F.concat(F.lit("memory/vec/"), F.col("doc_id").cast("string")).alias("key"), F.col("text").alias("content"), F.coalesce("project", F.lit("")).alias("summary"), F.date_trunc("second", "created_at").alias("created_at"))
+    return d.select(F.concat(F.lit("memory/vec/"), F.col("doc_id").cast("string")).alias("key"), F.col("text").alias("content"), F.coalesce("project", F.lit("")).alias("summary"), F.date_trunc("second", "created_at").alias("created_at"), F.array_compact(F.array("kind", "source")).alias("tags"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("goal/"), F.col("doc_id").cast("string"))).alias("goal_id"))
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:

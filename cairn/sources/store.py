@@ -6,34 +6,58 @@ seq of each key, without deleted ones.
 
 from __future__ import annotations
 
+import secrets
+import threading
+import time
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.session import file_system
+
 LOG = "key string, value string, created_at timestamp, seq bigint, deleted boolean"
 
 
 def current(log: DataFrame) -> DataFrame:
     """key, value, created_at (of the key's first version), modified_at (of its last): the last version of each key that is not deleted.
 
-    One partial aggregation per key and one shuffle, however many versions a key has. Ties cannot occur: seq is unique.
+    Numbers and times are aggregated by hash, without a sort; the last version then takes its value along by key and seq, so
+    values are shuffled once and none but the last is kept. Ties cannot occur: seq is unique. A filter on the key goes below all of it.
     """
-    last = lambda c: F.max_by(c, "seq")
-    # One aggregate a column, so that those that nobody asks for are not read.
-    states = log.where(F.col("key").isNotNull()).groupBy("key").agg(
-        last("value").alias("value"), F.min_by("created_at", "seq").alias("created_at"), last("created_at").alias("modified_at"), F.max_by(F.coalesce("deleted", F.lit(False)), "seq").alias("_gone")
+    log = log.where(F.col("key").isNotNull())
+    states = log.groupBy("key").agg(
+        F.max("seq").alias("seq"), F.min_by("created_at", "seq").alias("created_at"), F.max_by("created_at", "seq").alias("modified_at"), F.max_by(F.coalesce("deleted", F.lit(False)), "seq").alias("_gone")
     )
-    return states.where(~F.col("_gone")).select("key", "value", "created_at", "modified_at")
+    last = states.where(~F.col("_gone")).drop("_gone")
+    met = last.join(log.select("key", "seq", "value"), ["key", "seq"])
+    # A version that was written twice, by a batch that was tried again, is one.
+    return met.groupBy("key", "seq", "created_at", "modified_at").agg(F.get(F.collect_set("value"), F.lit(0)).alias("value")).select("key", "value", "created_at", "modified_at")
+
+
+class Sequence:
+    """Numbers of versions without a look at the log: micros since 1970, then the writer's own number.
+
+    They grow with time; two writers (of WRITERS) never give the same one, and one writer never gives one twice.
+    """
+
+    WRITERS = 1 << 12
 
+    def __init__(self, writer: int | None = None):
+        self.writer = secrets.randbelow(self.WRITERS) if writer is None else writer % self.WRITERS
+        self.last, self.lock = 0, threading.Lock()
 
-def next_seq(log: DataFrame) -> int:
-    return (log.agg(F.max("seq")).first()[0] or 0) + 1
+    def next(self, rows: int = 1) -> int:
+        """The first of `rows` numbers, which are WRITERS apart."""
+        with self.lock:
+            first = max(time.time_ns() // 1000, self.last + 1)
+            self.last = first + rows - 1
+        return first * self.WRITERS + self.writer
 
 
-def put(log: DataFrame, rows: DataFrame, first_seq: int) -> DataFrame:
+def put(log: DataFrame, rows: DataFrame, first_seq: int, step: int = 1) -> DataFrame:
     """The log with `rows` (key, value, created_at, n: their order) appended as new versions."""
-    new = rows.select("key", "value", "created_at", (F.lit(first_seq) + F.col("n")).cast("bigint").alias("seq"), F.lit(False).alias("deleted"))
+    new = rows.select("key", "value", "created_at", (F.lit(first_seq) + F.col("n") * step).cast("bigint").alias("seq"), F.lit(False).alias("deleted"))
     return log.select("key", "value", "created_at", "seq", "deleted").unionByName(new)
 
 
@@ -96,7 +120,9 @@ class VersionLog:
         rows.select("key", "value", "created_at", "seq", "deleted").write.mode("append").parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(self.path)
+        """The log; empty while nothing was appended."""
+        fs, p = file_system(self.spark, self.path)
+        return self.spark.read.schema(LOG).parquet(self.path) if fs.exists(p) else self.spark.createDataFrame([], LOG)
 
     def compact(self, path: str) -> VersionLog:
         """A new log at `path` with only the last version of each key, deleted keys gone. Times of first versions are kept."""

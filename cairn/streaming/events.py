@@ -5,8 +5,10 @@ The batch operators work on streams' micro-batches as they are; this module hold
 
 from __future__ import annotations
 
+import queue
 from collections.abc import Callable
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,48 @@ EVENT = "id bigint, event_type string, key string, summary string, details strin
 JOB = "id string, status string, facts int, error string"
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Events at the end of the log; a log that cannot be written is reported to the log, not to the caller's work."""
-    events.write.mode("append").parquet(path)
+def append_events(events: DataFrame, path: str) -> str | None:
+    """Events at the end of the log. A log that cannot be written does not stop the caller's work: the error is given back, None if there is none."""
+    try:
+        events.write.mode("append").parquet(path)
+    except Exception as e:
+        return f"{type(e).__name__}: {e}"
+    return None
+
+
+class AsyncWriter:
+    """Writes in the background, in order: up to `depth` pieces wait; with more, the caller writes its piece itself. close() waits until all is written.
+
+    A piece that fails is in `errors`; the ones after it are written all the same.
+    """
+
+    def __init__(self, write: Callable[[DataFrame], None], depth: int = 64):
+        self.write, self.errors, self.waiting = write, [], queue.Queue(depth)
+        self.thread = InheritableThread(target=self._run, daemon=True)
+        self.thread.start()
+
+    def _one(self, rows: DataFrame) -> None:
+        try:
+            self.write(rows)
+        except Exception as e:
+            self.errors.append(e)
+
+    def _run(self) -> None:
+        while (rows := self.waiting.get()) is not None:
+            self._one(rows)
+
+    def submit(self, rows: DataFrame) -> bool:
+        """Whether the rows wait for the background; false if they were written at once because too many wait."""
+        try:
+            self.waiting.put_nowait(rows)
+            return True
+        except queue.Full:
+            self._one(rows)
+            return False
+
+    def close(self) -> None:
+        self.waiting.put(None)
+        self.thread.join()
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

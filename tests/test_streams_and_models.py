@@ -63,3 +63,43 @@ def test_conversation(spark):
 
 def test_checkpoint_folder_is_set_where_none_is(spark):
     assert checkpoint_dir(spark)
+
+
+def test_a_log_that_cannot_be_written_stops_nothing(spark, tmp_path):
+    (tmp_path / "file").write_text("x")
+    rows = spark.createDataFrame([(1, "save", "k", "s", "d", datetime(2026, 1, 1))], st.EVENT)
+    assert st.append_events(rows, str(tmp_path / "ok")) is None
+    assert st.append_events(rows, str(tmp_path / "file" / "in")) is not None
+
+
+def test_background_writes(spark):
+    import threading
+
+    held, done = threading.Event(), []
+
+    def write(rows):
+        if rows == "wait":
+            held.wait(10)
+        if rows == "bad":
+            raise ValueError("bad")
+        done.append(rows)
+
+    w = st.AsyncWriter(write, depth=2)
+    w.submit("wait")
+    while not w.waiting.empty():
+        pass
+    assert w.submit("bad") and w.submit("b") and not w.submit("now")
+    held.set()
+    w.close()
+    assert done == ["now", "wait", "b"] and len(w.errors) == 1
+
+
+def test_snapshot(spark, folder):
+    from cairn.operators import resources
+    from cairn.sources import adapters
+
+    text = spark.createDataFrame([("c",)], "text string")
+    got = {r["name"]: r["text"] for r in resources.snapshot(adapters.goals(spark, folder), adapters.timeline(spark, folder), text).collect()}
+    assert got["context"] == "c" and len(got["timeline"].splitlines()) == 10 and all(json.loads(x)["status"] == "active" for x in got["goals"].splitlines())
+    empty = resources.awareness(adapters.goals(spark, folder).limit(0), adapters.timeline(spark, folder).limit(0), spark.createDataFrame([("",)], "text string"))
+    assert empty.first()["text"] == "Nothing is known yet."
