@@ -51,6 +51,16 @@ def _broken(spark: SparkSession, folder: str) -> DataFrame:
     return references.broken_goal_references(*(table(spark, folder, n) for n in ("memories", "agent_commands", "goals")))
 
 
+@query
+def p3_composite(spark: SparkSession, folder: str) -> DataFrame:
+    """Memories whose goal and status do not occur together in a goal's versions, where either may be null (partial match)."""
+    m, g = table(spark, folder, "memories"), table(spark, folder, "goals")
+    refs = m.select("seq", references.normal_goal_ref(F.col("value.goal_id")).alias("ref"), F.col("value.status").alias("status"), "received_at")
+    targets = g.select(references.normal_goal_ref(F.col("id")).alias("key"), "status", "deleted", F.col("received_at").alias("target_at"))
+    targets = targets.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+    return references.broken_references(refs, targets, ["ref", "status"], ["key", "status"], "seq", "received_at", "target_at", "deleted", match="partial").select(F.col("seq").alias("row_id"), "kind")
+
+
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     values = instants.time_values(*(table(spark, folder, n) for n in ("memories", "goals", "timeline_events")))

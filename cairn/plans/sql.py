@@ -165,6 +165,12 @@ _CLASS = rf"""WITH t AS (SELECT command_id, regexp_replace(text, '^\s+|\s+$', ''
 
 ORACLE: dict[str, str] = {
     "p3_found": f"{_BROKEN} SELECT src, row_id, kind FROM broken WHERE kind IS NOT NULL",
+    "p3_composite": f"""WITH refs AS (SELECT seq AS row_id, {_REF.format('value.goal_id')} AS ref, value.status AS status, received_at FROM memories), versions AS (SELECT {_REF.format('id')} AS ref, status, deleted, received_at FROM goals),
+        met AS (
+            SELECT row_id, r.received_at, min(v.received_at) AS first_at, min(CASE WHEN v.deleted THEN v.received_at END) AS gone_at
+            FROM refs r LEFT JOIN versions v ON (r.ref IS NULL OR r.ref = v.ref) AND (r.status IS NULL OR r.status = v.status) WHERE r.ref IS NOT NULL OR r.status IS NOT NULL GROUP BY row_id, r.received_at
+        ), kinds AS (SELECT row_id, CASE WHEN first_at IS NULL THEN 'missing' WHEN gone_at <= received_at THEN 'deleted' WHEN first_at > received_at THEN 'late' END AS kind FROM met)
+        SELECT * FROM kinds WHERE kind IS NOT NULL""",
     "p3_by_month": f"{_BROKEN} SELECT src, strftime(received_at AT TIME ZONE 'UTC', '%Y-%m') AS month, kind, count(*) AS n FROM broken WHERE kind IS NOT NULL GROUP BY 1, 2, 3",
     "kv_current": f"WITH {_KV} SELECT * FROM kv",
     "kv_put": f"""WITH {_KV} SELECT key, CASE WHEN starts_with(key, 'memory/technical/') THEN value || '*' ELSE value END AS value, created_at,
