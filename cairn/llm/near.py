@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.bits import bit_set, held
-from cairn.llm.words import token_rows
+from cairn.llm.words import MARKS, token_rows
 from cairn.session import Scratch, shuffle_width, stage
 
 BANDS, ROWS = 40, 7
@@ -276,15 +276,25 @@ class NearDuplicates:
 
     def links(self) -> DataFrame:
         """a, b, similarity of classes, verified on their whole texts."""
-        found = stage(self.candidates(), "pairs")
+        found = stage(self.possible(self.candidates()), "pairs")
         bits = bit_set(found.select(F.explode(F.array("a", "b")).alias("sig")))
         # Most texts are in no pair: they are left out before the texts are shuffled.
-        docs = self.base.select("sig", "n", "doc").mapInArrow(_wanted(bits), "sig bigint, n int, doc string").dropDuplicates(["sig"])
-        x, y = docs.select(F.col("sig").alias("a"), F.col("n").alias("nx"), F.col("doc").alias("x")), docs.select(F.col("sig").alias("b"), F.col("n").alias("ny"), F.col("doc").alias("y"))
-        fits = F.least("nx", "ny") >= F.greatest("nx", "ny") * F.lit(self.least) - 1e-9
-        both = found.join(x, "a").join(y, "b").where(fits).select("a", "b", "x", "y")
+        docs = self.base.select("sig", "doc").mapInArrow(_wanted(bits), "sig bigint, doc string").dropDuplicates(["sig"])
+        x, y = docs.select(F.col("sig").alias("a"), F.col("doc").alias("x")), docs.select(F.col("sig").alias("b"), F.col("doc").alias("y"))
+        both = found.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return both.mapInArrow(_verified(self.least), "a bigint, b bigint, similarity double")
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that numbers alone do not rule out: lengths that fit, and marks that leave enough tokens in common. No similar pair is lost."""
+        one = self.base.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", *MARKS)])
+        side = lambda k, s: one.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}{k}") for c in ("n", *MARKS)])
+        met = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b")
+        differ = sum((F.bit_count(F.col(f"{m}x").bitwiseXOR(F.col(f"{m}y"))) for m in MARKS[1:]), F.bit_count(F.col("m0x").bitwiseXOR(F.col("m0y"))))
+        both = F.col("nx") + F.col("ny")
+        # similarity = common / (both - common), and common is at most (both - differ) / 2.
+        enough = (both - differ) / 2 >= both * F.lit(self.least / (1 + self.least)) - 1e-9
+        return met.where((F.least("nx", "ny") >= F.greatest("nx", "ny") * F.lit(self.least) - 1e-9) & enough).select("a", "b")
+
     def pairs(self) -> DataFrame:
         """a, b, similarity for ids a < b: every pair of copies and of texts of linked classes.
 
