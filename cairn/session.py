@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -103,6 +104,13 @@ class Scratch:
         self.paths = []
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage. Spark removes shuffle files and broadcasts of plans that are gone only then, and a driver that
+    makes many plans one after the other would keep them all until its heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -129,4 +137,4 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["Scratch", "build_session", "checkpoint_dir", "file_system", "ship_package", "stage", "stage_path", "shuffle_width"]
+__all__ = ["Scratch", "build_session", "checkpoint_dir", "file_system", "release", "ship_package", "stage", "stage_path", "shuffle_width"]
