@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.near import spread
+from cairn.llm.near import spread, tiles
 from cairn.session import Scratch, file_system, shuffle_width, stage, stage_path
 
 #: Tokens hash to so many slots, by which runs are partitioned; a run of few rows has fewer buckets, of about PER_BUCKET rows.
@@ -40,7 +40,8 @@ _WORD = re.compile(r"[^\W_]+")
 _CYRILLIC, _LATIN = re.compile(r"[Ѐ-ӿ]"), re.compile(r"^[^\W\d_Ѐ-ӿ]{4,}$")
 TEXT = "fact_id bigint, words array<string>, inside array<tinyint>, mixed boolean"
 WORDS = "word string, n bigint, mixed bigint, small bigint, big bigint"
-POSTING = "block bigint, n int, fact_id bigint, first_id bigint, sig bigint, words string, names string"
+POSTING = "block bigint, n int, sig bigint"
+STATEMENT = "sig bigint, fact_id bigint, first_id bigint, n int, words string, names string"
 
 
 def grams(word: str) -> list[int]:
@@ -172,16 +173,16 @@ def _judged(weights: np.ndarray | None):
 
 
 def _linked(least: float):
-    """Rows (block, i, j, own, fact_id, first_id, sig, words, names) sorted by block, tile (i, j) and fact_id, first_id being null for new texts, to rows (fact_id, to, again) of new texts.
+    """Rows (block, i, j, own, fact_id, first_id, words, names) sorted by block, tile (i, j) and fact_id, first_id being null for new texts, to rows (fact_id, to) of new texts.
 
     A new text is compared with every earlier text of its tile (in a tile of two groups, of the other group), statements and variants, until it is linked with one of each statement; `to` is
-    that statement's id, or null in the one row of a text without links. again: the text itself is in the index. Only a tile's texts are held."""
+    that statement's id. Texts without links give no rows. Only a tile's texts are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, groups = None, []
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for key, i, j, mine, fact, first, sig, text, named in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[list] = [[], []]
+            for key, i, j, mine, fact, first, text, named in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, i, j) != block:
                     block, groups = (key, i, j), []
                 words, names = Counter(text.split(" ")), frozenset(named.split(" "))
@@ -189,27 +190,19 @@ def _linked(least: float):
                     own = next((g for g in groups if g[0] == first), None)
                     if own is None:
                         groups.append(own := (first, []))
-                    own[1].append((sig, words, names, mine))
+                    own[1].append((words, names, mine))
                     continue
-                hit = [g for g in groups if any((i == j or m != mine) and (s == sig or repeats(w, words, k | names, least)) for s, w, k, m in g[1])]
-                for to in [g[0] for g in hit] or [None]:
-                    out[0].append(fact), out[1].append(to), out[2].append(any(s == sig for g in hit for s, *_ in g[1]))
+                hit = [g for g in groups if any((i == j or m != mine) and repeats(w, words, k | names, least) for w, k, m in g[1])]
+                for g in hit:
+                    out[0].append(fact), out[1].append(g[0])
                 if hit:
                     groups = [g for g in groups if g not in hit]
-                groups.append((min([fact, *(g[0] for g in hit)]), [(sig, words, names, mine), *(m for g in hit for m in g[1])]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["fact_id", "to", "again"])
+                groups.append((min([fact, *(g[0] for g in hit)]), [(words, names, mine), *(m for g in hit for m in g[1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["fact_id", "to"])
 
     return run
 
 
-def split_hot(rows: DataFrame) -> DataFrame:
-    """rows with columns i, j, own: those of a block of more than HOT rows are in groups by sig, each group in a tile with itself and with every other one."""
-    hot = rows.groupBy("block").count().where(F.col("count") > HOT).select("block", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
-    rows = rows.join(hot, "block", "left").withColumn("own", F.pmod("sig", F.coalesce("parts", F.lit(1))).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    return rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other", "parts")
-
-
 class Runs:
     """Tables of a folder that grow by runs, partitioned by the slot of a key, so that a look-up reads the files of its keys' slots only.
 
@@ -280,7 +273,7 @@ class StatementIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, similarity: float = 0.65, per_bucket: int = PER_BUCKET):
         self.spark, self.least, self.per = spark, similarity, per_bucket
         self.path = (path or stage_path(spark, "statements")).rstrip("/")
-        self.state = {"version": 0, "similarity": similarity, "learned": 0, "postings": [], "words": [], "order": [], "letters": None, "merged": []}
+        self.state = {"version": 0, "similarity": similarity, "learned": 0, "postings": [], "statements": [], "words": [], "order": [], "letters": None, "merged": []}
         fs, p = file_system(spark, self.path)
         if fs.exists(p):
             kept = [s.getPath() for s in fs.listStatus(p) if re.fullmatch(r"manifest-\d+\.json", s.getPath().getName())]
@@ -306,12 +299,15 @@ class StatementIndex:
         fs.rename(made, file_system(self.spark, f"{self.path}/manifest-{state['version']}.json")[1])
         before, self.state = self.state, state
         fs.delete(file_system(self.spark, f"{self.path}/manifest-{before['version']}.json")[1], False)
-        names = lambda s: {r["name"] for k in ("postings", "words", "order") for r in s[k]} | {*s["merged"], s["letters"]}
+        names = lambda s: {r["name"] for k in ("postings", "statements", "words", "order") for r in s[k]} | {*s["merged"], s["letters"]}
         for gone in names(before) - names(state) - {None}:
             fs.delete(file_system(self.spark, f"{self.path}/{gone}")[1], True)
 
     def postings(self, state: dict | None = None) -> Runs:
-        return Runs(self.spark, self.path, "block", POSTING, ["block", "fact_id"], (state or self.state)["postings"], self.per)
+        return Runs(self.spark, self.path, "block", POSTING, ["block"], (state or self.state)["postings"], self.per)
+
+    def statements(self, state: dict | None = None) -> Runs:
+        return Runs(self.spark, self.path, "sig", STATEMENT, ["sig"], (state or self.state)["statements"], self.per)
 
     def words(self, state: dict | None = None) -> Runs:
         return Runs(self.spark, self.path, "word", WORDS, ["word"], (state or self.state)["words"], self.per)
@@ -395,66 +391,82 @@ class StatementIndex:
         state["words"] += self.words(state).write(word_counts(distinct), f"words-{name}", most)
         if not state["postings"]:
             self._learn(state)
-        keyed, seen = self.keyed(distinct.select("sig", "fact_id", "words"), state), Observation()
-        rows = scratch.stage(keyed.observe(seen, F.sum(F.size("keys")).alias("keys")), "keys")
-        most = seen.get["keys"]
-        rows = rows.select(F.explode("keys").alias("block"), "n", "fact_id", "sig", "words", "names")
-        found, new = self._probe(texts.select("fact_id", "sig"), distinct, rows, scratch, state, name)
-        held = sum(r["rows"] for r in state["postings"])
-        if state["learned"] and held + most >= 2 * state["learned"]:
-            self._rebuild(state, new, name, held + most)
+        # Texts whose very words are in the index: `old` is the statement they belong to; they need no probe.
+        index = self.statements(state)
+        held = index.read_for(distinct).select("sig", F.col("first_id").alias("old"))
+        keyed, seen = self.keyed(distinct.select("sig", "fact_id", "words").join(held, "sig", "left"), state), Observation()
+        rows = scratch.stage(keyed.observe(seen, F.sum(F.size("keys")).alias("keys"), F.count(F.lit(1)).alias("texts")), "keys")
+        keys, count = seen.get["keys"], seen.get["texts"]
+        found, resolved = self._probe(texts.select("fact_id", "sig"), rows, scratch, state, name)
+        fresh = rows.where(F.col("old").isNull())
+        new = fresh.join(resolved.select("sig", "first_id"), "sig").select(*[c.split(" ")[0] for c in STATEMENT.split(", ")])
+        state["statements"] += index.write(new, f"statements-{name}", count)
+        held = sum(r["rows"] for r in state["statements"])
+        if state["learned"] and held >= 2 * state["learned"]:
+            self._rebuild(state, name, held + sum(r["rows"] for r in state["postings"]) + keys)
         else:
-            state["postings"] += self.postings(state).write(new, f"postings-{name}", most)
+            state["postings"] += self.postings(state).write(fresh.select(F.explode("keys").alias("block"), "n", "sig"), f"postings-{name}", keys)
             state["postings"] = self.postings(state).merged(lambda d: d, f"postings-{name}-merged")
-            state["learned"] = state["learned"] or sum(r["rows"] for r in state["postings"])
+            state["statements"] = self.statements(state).merged(lambda d: d, f"statements-{name}-merged")
+            state["learned"] = state["learned"] or held
         state["words"] = self.words(state).merged(lambda d: d.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "mixed", "small", "big")]), f"words-{name}-merged")
         self._commit(state)
         return found
 
-    def _probe(self, texts: DataFrame, distinct: DataFrame, rows: DataFrame, scratch: Scratch, state: dict, name: str) -> tuple[DataFrame, DataFrame]:
-        """The batch's repeats, and the postings of its new texts."""
-        probes = rows.select("block", "fact_id", F.lit(None).cast("bigint").alias("first_id"), "sig", "words", "names")
+    def _probe(self, texts: DataFrame, rows: DataFrame, scratch: Scratch, state: dict, name: str) -> tuple[DataFrame, DataFrame]:
+        """The batch's repeats, and sig, first_id of all its texts."""
+        slim = rows.where(F.col("old").isNull()).select(F.explode("keys").alias("block"), "n", "sig")
+        probes = slim.select("block", "sig")
+        keys = slim.groupBy("block").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+        live = keys.where(F.col("k") > 1).select("block")
+        old = None
         if state["postings"]:
+            # Only postings under the batch's own keys, of texts whose length may fit one of them. Texts come to the few that are left.
             index = self.postings(state)
-            # Only postings under the batch's own keys, of texts whose length may fit one of them.
-            keys = rows.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-            held = index.read_for(rows).join(keys, "block").where((F.col("n") >= F.col("lo") * F.lit(self.least) - 1e-9) & (F.col("n") * F.lit(self.least) <= F.col("hi") + 1e-9))
+            fits = (F.col("n") >= F.col("lo") * F.lit(self.least) - 1e-9) & (F.col("n") * F.lit(self.least) <= F.col("hi") + 1e-9)
+            matched = scratch.stage(index.read_for(slim).join(keys, "block").where(fits).select("block", "sig"), "matched")
             self.read_files = index.files
-            probes = probes.unionByName(held.select(*probes.columns))
-        tiles = ["block", "i", "j"]
-        ordered = split_hot(probes).repartition(shuffle_width(self.spark), *tiles).sortWithinPartitions(*tiles, "fact_id").select(*tiles, "own", "fact_id", "first_id", "sig", "words", "names")
-        done = scratch.stage(ordered.mapInArrow(_linked(self.least), "fact_id bigint, to bigint, again boolean"), "probe")
-        # Links found under different keys, and statements that earlier batches showed to be one, come together.
-        links = done.where(F.col("to").isNotNull()).select(F.col("fact_id").alias("a"), F.col("to").alias("b")).distinct()
+            live = live.unionByName(matched.select("block")).distinct()
+            old = matched.join(self.statements(state).read_for(matched.select("sig")).select("sig", "fact_id", "first_id", "words", "names"), "sig")
+        all_ = probes.join(live, "block", "left_semi").join(rows.select("sig", "fact_id", F.lit(None).cast("bigint").alias("first_id"), "words", "names"), "sig")
+        all_ = all_ if old is None else all_.unionByName(old)
+        tile = ["block", "i", "j"]
+        ordered = tiles(all_, "block", HOT).repartition(shuffle_width(self.spark), *tile).sortWithinPartitions(*tile, "fact_id").select(*tile, "own", "fact_id", "first_id", "words", "names")
+        # Links found under different keys, copies, and statements that earlier batches showed to be one, come together.
+        done = ordered.mapInArrow(_linked(self.least), "fact_id bigint, to bigint").distinct()
+        links = done.unionByName(rows.where(F.col("old").isNotNull()).select("fact_id", F.col("old").alias("to")))
+        links = links.select(F.col("fact_id").alias("a"), F.col("to").alias("b"), F.lit(True).alias("new"))
         if state["merged"]:
-            links = links.unionByName(self.spark.read.schema("a bigint, b bigint").parquet(*[f"{self.path}/{m}" for m in state["merged"]]))
-        group = linked_ids(links, scratch)
-        state_of = done.groupBy("fact_id").agg(F.max(F.col("to").isNotNull()).alias("linked"), F.max("again").alias("again"))
-        resolved = distinct.select("sig", "fact_id").join(state_of, "fact_id").join(group, "fact_id", "left")
-        resolved = scratch.stage(resolved.select("sig", F.col("fact_id").alias("stands_for"), F.coalesce("group_id", "fact_id").alias("first_id"), "linked", "again"), "first")
+            earlier = self.spark.read.schema("a bigint, b bigint").parquet(*[f"{self.path}/{m}" for m in state["merged"]])
+            links = links.unionByName(earlier.withColumn("new", F.lit(False)))
+        links = scratch.stage(links, "links")
+        group = linked_ids(links.select("a", "b"), scratch)
+        linked = links.where("new").select(F.col("a").alias("fact_id"), F.lit(True).alias("linked")).distinct()
+        resolved = rows.select("sig", "fact_id").join(linked, "fact_id", "left").join(group, "fact_id", "left")
+        resolved = scratch.stage(resolved.select("sig", F.col("fact_id").alias("stands_for"), F.coalesce("group_id", "fact_id").alias("first_id"), F.coalesce("linked", F.lit(False)).alias("linked")), "first")
         # A text copied very often makes a large partition of two numbers a row; adaptive execution splits it.
-        each = texts.join(resolved.drop("again"), "sig")
-        found = stage(each.where(F.col("linked") | (F.col("fact_id") != F.col("stands_for"))).select("first_id", "fact_id"), "repeats")
-        fresh = resolved.where(~F.col("again")).select("sig", "first_id")
-        new = rows.join(fresh, "sig").select(*[c.split(" ")[0] for c in POSTING.split(", ")])
-        known = group.where(F.col("fact_id") != F.col("group_id")).join(distinct.select("fact_id"), "fact_id", "left_anti").select(F.col("fact_id").alias("a"), F.col("group_id").alias("b"))
+        found = stage(texts.join(resolved, "sig").where(F.col("linked") | (F.col("fact_id") != F.col("stands_for"))).select("first_id", "fact_id"), "repeats")
+        known = group.where(F.col("fact_id") != F.col("group_id")).join(rows.select("fact_id"), "fact_id", "left_anti").select(F.col("fact_id").alias("a"), F.col("group_id").alias("b"))
         if not known.isEmpty():
             known.write.mode("overwrite").parquet(f"{self.path}/merged-{name}")
             state["merged"] = [f"merged-{name}"]
-        return found, new
+        return found, resolved
 
-    def _rebuild(self, state: dict, new: DataFrame, name: str, most: int) -> None:
-        """The order learned anew, and all postings keyed by it, as one run."""
-        held = self.postings(state).read().unionByName(new).select("sig", "fact_id", "first_id", "words").dropDuplicates(["sig"])
+    def _rebuild(self, state: dict, name: str, most: int) -> None:
+        """The order learned anew, and all statements keyed by it, as one run of each table."""
+        held = self.statements(state).read().select("sig", "fact_id", "first_id", F.split("words", " ").alias("words"))
         self._learn(state)
-        rows = self.keyed(held.withColumn("words", F.split("words", " ")), state).select(F.explode("keys").alias("block"), "n", "fact_id", "first_id", "sig", "words", "names")
-        state["postings"] = self.postings(state).write(rows, f"postings-{name}", most)
-        state["learned"] = sum(r["rows"] for r in state["postings"])
+        scratch = Scratch(self.spark)
+        rows = scratch.stage(self.keyed(held, state), "rows")
+        state["postings"] = self.postings(state).write(rows.select(F.explode("keys").alias("block"), "n", "sig"), f"postings-{name}-anew", most)
+        state["statements"] = self.statements(state).write(rows.select(*[c.split(" ")[0] for c in STATEMENT.split(", ")]), f"statements-{name}-anew", sum(r["rows"] for r in state["statements"]))
+        state["learned"] = sum(r["rows"] for r in state["statements"])
+        scratch.drop()
 
 
 def linked_ids(links: DataFrame, scratch: Scratch) -> DataFrame:
     """fact_id, group_id: the smallest id that the links (a, b) lead each id to."""
-    edges = scratch.stage(links.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*"), "links")
+    edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("x"), F.col("b").alias("y"))
     return spread(edges, scratch).select(F.col("x").alias("fact_id"), F.col("l").alias("group_id"))
 
 
