@@ -36,11 +36,21 @@ def window_seconds(text: str | None) -> float:
     return DEFAULT if found is None else found
 
 
+def seconds_of(text: Column) -> Column:
+    """The same as seconds(), as a column: null for a bad text and for null."""
+    number, unit = r"\d+(?:\.\d*)?|\.\d+", "ns|us|µs|μs|ms|s|m|h"
+    body = F.regexp_replace(text, r"^[+-]", "")
+    found = lambda k: F.regexp_extract_all(body, F.lit(f"({number})({unit})"), F.lit(k))
+    each = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    total = F.aggregate(F.zip_with(found(1), found(2), lambda n, u: n.cast("double") * F.element_at(each, u)), F.lit(0.0), lambda a, x: a + x)
+    days = F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)d", 1), F.lit("")).cast("double") * 86400
+    plain = F.when(body == "0", 0.0).when(body.rlike(f"^(?:(?:{number})(?:{unit}))+$"), F.when(text.startswith("-"), -total).otherwise(total))
+    return F.when(text == "", F.lit(DEFAULT)).when(text.endswith("d"), days).otherwise(plain)
+
+
 def whole_seconds(text: Column) -> Column:
-    """Seconds of duration texts of days, hours, minutes and seconds (1d, 2h, 1h30m), as a column; null for other texts."""
-    part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(text, rf"(\d+){unit}", 1), F.lit("")).cast("bigint"), F.lit(0))
-    total = part("d") * 86400 + part("h") * 3600 + part("m") * 60 + part("s")
-    return F.when(text == "", F.lit(int(DEFAULT))).when(text.rlike(r"^(?:\d+d|(?:\d+h)?(?:\d+m)?(?:\d+s)?)$"), total)
+    """Whole seconds of duration texts (1d, 2h, 1h30m, 1500ms), the rest cut; null for other texts."""
+    return seconds_of(text).cast("bigint")
 
 
 def delta_text(delta_seconds: Column) -> Column:

@@ -80,3 +80,11 @@ def test_replies(spark):
     ):
         assert one(spark, body, text.reply_text) == wanted
     assert one(spark, '{"error":{"message":"no"}}', text.reply_error) == "no"
+
+
+def test_durations_of_columns_and_of_texts_are_the_same(spark):
+    texts = ["", "0", "-0", "30m", "1h30m", "500ms", "1.5h", "-2s", "+3us", ".5s", "1.s", "7ns", "2d", "-1d", " 3d", "1h2d", "x", "5", "h", "1x", "1d2h", "-", "d", "1µs"]
+    got = {r["t"]: r["s"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", durations.seconds_of(F.col("t")).alias("s")).collect()}
+    for x in texts:
+        wanted = durations.seconds(x)
+        assert (got[x] is None) == (wanted is None) and (wanted is None or abs(got[x] - wanted) < 1e-9), x
