@@ -1,7 +1,7 @@
 """python -m cairn STORE COMMAND ...: the store's commands on a terminal.
 
 Commands: save KEY JSON, get KEY, delete KEY, list [PREFIX], find WORD, dig WORD [--keywords a,b] [--window 2h] [--max 10], edge FROM RELATION TO, neighbours ENTITY,
-session PROJECT [DATA], query NAME FOLDER. --json gives one JSON object a row.
+session PROJECT [DATA], search TEXT and context TEXT (by words in common), goals [STATUS], query NAME FOLDER. --json gives one JSON object a row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import sys
 from pyspark.sql import DataFrame
 
 from cairn.api import Store
+from cairn.goal_store import Goals
+from cairn.operators.embedding import hashed_words
 from cairn.session import build_session
 
 
@@ -39,6 +41,9 @@ def arguments(args: list[str]) -> argparse.Namespace:
     command("edge", "src", "relation", "dst")
     command("neighbours", "entity")
     command("session", "project", "data?")
+    command("search", "text", limit={"type": int, "default": 10})
+    command("context", "text", limit={"type": int, "default": 5})
+    command("goals", "status?")
     command("query", "name", "folder")
     return p.parse_args(args)
 
@@ -60,7 +65,7 @@ def main(args: list[str]) -> int:
 
         shown(QUERIES[a.name](spark, a.folder), a.json)
         return 0
-    s = Store(spark, a.store)
+    s = Store(spark, a.store, hashed_words)
     if a.command == "save":
         print(s.save(a.key, a.value, a.auto))
     elif a.command == "get":
@@ -79,6 +84,12 @@ def main(args: list[str]) -> int:
         shown(s.dig(a.word, a.keywords.split(","), a.window, a.max), a.json)
     elif a.command == "edge":
         s.add_edge(a.src, a.dst, a.relation)
+    elif a.command == "search":
+        shown(s.search(a.text, a.limit), a.json)
+    elif a.command == "context":
+        print(s.context(a.text, Goals(spark, f"{a.store.rstrip('/')}-goals").current(), a.limit).first()["text"])
+    elif a.command == "goals":
+        shown(Goals(spark, f"{a.store.rstrip('/')}-goals").list("active" if a.status is None else a.status), a.json)
     elif a.command == "neighbours":
         shown(s.neighbours(a.entity), a.json)
     elif a.data is None:

@@ -49,7 +49,8 @@ def reply(text: str) -> str:
 
 @dataclass(frozen=True)
 class HttpModel:
-    """Asks a server for each prompt, again after a pause where it fails. An answer that cannot be had is an empty text, so one bad prompt fails no task."""
+    """Asks a server for each prompt, again after a pause where it cannot be reached. One bad prompt fails no task: as a function it gives an empty text
+    for an answer that cannot be had, asked() tells why. What a server itself refuses is not asked again."""
 
     base: str
     model: str
@@ -59,14 +60,26 @@ class HttpModel:
     pause: float = 0.5
 
     def __call__(self, prompts: list[str]) -> list[str]:
+        return [answer or "" for answer, _ in self.asked(prompts)]
+
+    def asked(self, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        """(answer, error) of each prompt, one of them null."""
         return [self.one(p) for p in prompts]
 
-    def one(self, prompt: str) -> str:
+    def one(self, prompt: str) -> tuple[str | None, str | None]:
+        error = None
         for k in range(self.tries):
             try:
                 asked = urllib.request.Request(endpoint(self.base, PATHS[self.kind]), body(self.kind, self.model, prompt), {"Content-Type": "application/json"})
                 with urllib.request.urlopen(asked, timeout=self.timeout) as got:
-                    return reply(got.read().decode())
-            except (urllib.error.URLError, OSError, ValueError):
-                time.sleep(self.pause * (k + 1))
-        return ""
+                    return reply(got.read().decode()), None
+            except ValueError as e:
+                return None, f"refused: {e}"
+            except urllib.error.HTTPError as e:
+                error = f"status {e.code}"
+                if e.code < 500 and e.code != 429:
+                    return None, error
+            except OSError as e:
+                error = f"not reached: {e}"
+            time.sleep(self.pause * (k + 1))
+        return None, error

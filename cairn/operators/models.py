@@ -20,16 +20,21 @@ Model = Callable[[list[str]], list[str]]
 
 
 def answers(prompts: DataFrame, model: Model) -> DataFrame:
-    """`prompts` (id, prompt) with the model's answer to each, asked for in batches inside the tasks. Null and blank prompts are not asked and get null."""
+    """id, prompt, answer, error of `prompts` (id, prompt), asked for in batches inside the tasks. Null and blank prompts are not asked and get null.
+
+    error: why there is no answer, of models that tell it (with a method asked(), see HttpModel); null else.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             asked = [i for i, t in enumerate(texts) if t and t.strip()]
-            got = dict(zip(asked, model([texts[i] for i in asked]))) if asked else {}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([got.get(i) for i in range(len(texts))], pa.string())], ["id", "prompt", "answer"])
+            tell = getattr(model, "asked", None) or (lambda prompts: [(answer, None) for answer in model(prompts)])
+            got = dict(zip(asked, tell([texts[i] for i in asked]))) if asked else {}
+            both = [got.get(i, (None, None)) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([b[k] for b in both], pa.string()) for k in range(2))], ["id", "prompt", "answer", "error"])
 
-    return prompts.select(F.col("id").cast("string").alias("id"), "prompt").mapInArrow(run, "id string, prompt string, answer string")
+    return prompts.select(F.col("id").cast("string").alias("id"), "prompt").mapInArrow(run, "id string, prompt string, answer string, error string")
 
 
 def array_of(answer: Column, schema: str) -> Column:

@@ -96,11 +96,11 @@ def extraction_jobs(model: models.Model, facts_path: str, jobs_path: str) -> Cal
 
     def write(batch: DataFrame, number: int) -> None:
         asked = batch.select("id", models.fact_prompt(F.col("text")).alias("prompt"))
-        replied = models.answers(asked, model).select("id", models.array_of(F.col("answer"), models.FACTS).alias("facts"))
+        replied = models.answers(asked, model).select("id", models.array_of(F.col("answer"), models.FACTS).alias("facts"), F.coalesce("error", F.lit("the answer holds no list")).alias("why"))
         replied.write.mode("overwrite").parquet(f"{facts_path}/batch={number}")
         kept = batch.sparkSession.read.parquet(f"{facts_path}/batch={number}")
         status = F.when(F.col("facts").isNull(), "failed").otherwise("done")
-        jobs = kept.select("id", status.alias("status"), F.coalesce(F.size("facts"), F.lit(0)).alias("facts"), F.when(F.col("facts").isNull(), "the answer holds no list").alias("error"))
+        jobs = kept.select("id", status.alias("status"), F.coalesce(F.size("facts"), F.lit(0)).alias("facts"), F.when(F.col("facts").isNull(), F.col("why")).alias("error"))
         jobs.write.mode("overwrite").parquet(f"{jobs_path}/batch={number}")
 
     return write

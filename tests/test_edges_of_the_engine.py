@@ -39,6 +39,10 @@ def test_http_model(server, spark):
     assert HttpModel(server + "/v1", "m", "openai")(["abc"]) == ["cba"]
     assert HttpModel(server, "m", pause=0)(["bad"]) == [""]
     assert HttpModel("http://127.0.0.1:9", "m", pause=0, tries=1, timeout=1)(["x"]) == [""]
+    assert HttpModel(server, "m", pause=9).asked(["bad"]) == [(None, "refused: no")]
+    assert HttpModel("http://127.0.0.1:9", "m", pause=0, tries=2, timeout=1).asked(["x"])[0][1].startswith("not reached")
+    told = models.answers(spark.createDataFrame([("1", "bad"), ("2", "abc")], "id string, prompt string"), HttpModel(server, "m", pause=0)).orderBy("id").collect()
+    assert [(r["answer"], r["error"]) for r in told] == [(None, "refused: no"), ("ABC", None)]
     rows = spark.createDataFrame([("1", "abc"), ("2", " "), ("3", None)], "id string, prompt string")
     assert [r["answer"] for r in models.answers(rows, HttpModel(server, "m")).orderBy("id").collect()] == ["ABC", None, None]
 
@@ -58,6 +62,8 @@ def test_terminal(tmp_path, capsys, spark):
     assert "hello" in run("get", "a/b")[1]
     assert json.loads(run("list", "a/")[1]) == {"entry": "a/b"}
     assert json.loads(run("find", "HELLO")[1])["key"] == "a/b"
+    assert json.loads(run("search", "hello world")[1])["key"] == "a/b"
+    assert "hello (score: " in run("context", "hello")[1] and run("goals") == (0, "")
     assert run("delete", "a/b")[0] == 0 and run("get", "a/b")[0] == 1
     assert arguments([path, "dig", "x", "--window", "1d"]).window == "1d"
 
