@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cairn.api import Store
 from cairn.functions import text
 from cairn.operators import goals as ops
-from cairn.operators import models, timeline
+from cairn.operators import dig, models, timeline
 from cairn.operators.models import Model
 from cairn.session import file_system
 from cairn.sources.store import Sequence
@@ -117,6 +117,10 @@ def dispatcher(store: Store, goals: Goals, events: Callable[[], DataFrame] | Non
         rows = store.spark.createDataFrame([("1", c.get("text") or c.get("content") or "")], "id string, text string")
         return models.extract_facts(rows, asked())
 
+    def dug(c: dict) -> DataFrame:
+        given = dig.arguments(c.get("text") or "") if not c.get("query") else {"query": c["query"], "keywords": c.get("keywords") or [], "window": c.get("window") or "", "limit": limit(c, 10)}
+        return store.dig(given["query"], given["keywords"], given["window"], given["limit"])
+
     calls: dict[str, Callable[[dict], DataFrame | str]] = {
         "": lambda c: c.get("answer") or "",
         "answer": lambda c: c.get("answer") or "",
@@ -136,7 +140,7 @@ def dispatcher(store: Store, goals: Goals, events: Callable[[], DataFrame] | Non
         "get_context": lambda c: store.context(c.get("query") or "", goals.current(), limit(c, 5)),
         "suggest": lambda c: models.suggest(goals.current(), log(), asked(), c.get("query") or "", limit(c, 5), c.get("lang") or "en"),
         "extract": extract,
-        "dig": lambda c: store.dig(need(c, "query", "query"), c.get("keywords") or [], c.get("window") or "", limit(c, 10)),
+        "dig": dug,
         "session_get": lambda c: store.session(c.get("project") or ""),
         "list": lambda c: store.list(c.get("prefix") or ""),
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shlex
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,23 @@ def scenes(kv: DataFrame, query: str, keywords: list[str], window: str = "", mos
     asked = F.array(*[F.lit(k) for k in dict.fromkeys(keywords) if k]) if any(keywords) else none
     got = got.withColumn("keywords", F.filter(asked, lambda k: F.array_contains("_k", k)))
     return got.select("match_key", "match_at", relevance(F.col("keywords")).alias("relevance"), "keywords", "before", "after").orderBy(F.desc("relevance"), "match_key").limit(most)
+
+
+def arguments(text: str) -> dict:
+    """query, keywords, window and limit of a line like `backup plan --keywords graph,queue --window 2h --max 5`; options may also be written with =, words may be quoted.
+
+    ValueError for an unknown option, one without a value, a limit that is no number, or quotes that are not closed.
+    """
+    out: dict = {"query": "", "keywords": [], "window": "", "limit": 10}
+    words, parts = [], shlex.split(text)
+    while parts:
+        part = parts.pop(0)
+        if not part.startswith("--"):
+            words.append(part)
+            continue
+        name, eq, value = part[2:].partition("=")
+        if name not in ("keywords", "window", "max") or not (eq or parts):
+            raise ValueError(f"what is {part}?")
+        value = value if eq else parts.pop(0)
+        out |= {"keywords": [k for k in value.split(",") if k]} if name == "keywords" else {"window": value} if name == "window" else {"limit": int(value)}
+    return out | {"query": " ".join(words)}

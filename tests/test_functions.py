@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import durations, messages, text
+from cairn.operators import dig
 
 
 def one(spark, value, f, schema="x string"):
@@ -88,3 +90,11 @@ def test_durations_of_columns_and_of_texts_are_the_same(spark):
     for x in texts:
         wanted = durations.seconds(x)
         assert (got[x] is None) == (wanted is None) and (wanted is None or abs(got[x] - wanted) < 1e-9), x
+
+
+def test_arguments_of_a_dig():
+    assert dig.arguments("backup plan --keywords graph,,queue --window 2h --max 5") == {"query": "backup plan", "keywords": ["graph", "queue"], "window": "2h", "limit": 5}
+    assert dig.arguments('"a  b" --max=3') == {"query": "a  b", "keywords": [], "window": "", "limit": 3} and dig.arguments("")["query"] == ""
+    for bad in ("a --what 1", "a --max", "a --max x", 'a "b'):
+        with pytest.raises(ValueError):
+            dig.arguments(bad)
