@@ -36,9 +36,11 @@ def call_event(tool: Column, key: Column, project: Column, query: Column, ident:
     return F.struct(tool.alias("event_type"), first.alias("key"), F.coalesce(F.nullif(summary, empty), cut(F.coalesce(text, empty), 80)).alias("summary"))
 
 
-def digest(events: DataFrame, active_goals: DataFrame, items: int = 5) -> DataFrame:
-    """One row: how many items, active goals and events there are, and the newest `items` items (summary, else content, else key)."""
-    item = F.coalesce(F.nullif("content", F.lit("")), F.nullif("summary", F.lit("")), F.col("key"))
-    top = events.orderBy(F.desc("created_at"), F.desc("id")).limit(items).select(F.struct((-F.unix_micros("created_at")).alias("t"), (-F.col("id")).alias("i"), item.alias("x")).alias("s"))
-    first = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), " | ").alias("first_items"))
-    return events.agg(F.count("*").alias("events")).crossJoin(active_goals.agg(F.count("*").alias("goals"))).crossJoin(first).select("events", "goals", "first_items")
+def digest(events: DataFrame, active_goals: DataFrame, limit: int = 20, items: int = 5) -> DataFrame:
+    """One row about the newest `limit` events: how many they are (events, and notes, one for each), how many active goals there are, and the first `items` notes (summary, else content, else key)."""
+    page = events.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    note = F.coalesce(F.nullif("summary", F.lit("")), F.nullif("content", F.lit("")), F.col("key"), F.lit(""))
+    one = F.struct((-F.unix_micros("created_at")).alias("t"), (-F.col("id")).alias("i"), note.alias("x"))
+    first = F.transform(F.slice(F.array_sort(F.collect_list(one)), 1, items), lambda s: s["x"])
+    counted = page.agg(F.count("*").alias("events"), F.count("*").alias("notes"), F.array_join(first, " | ").alias("first_items"))
+    return counted.crossJoin(active_goals.agg(F.count("*").alias("goals"))).select("events", "notes", "goals", "first_items")

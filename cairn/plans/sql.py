@@ -227,9 +227,9 @@ ORACLE: dict[str, str] = {
     "timeline_range": """SELECT id, key, summary AS content, event_type AS summary, received_at AS created_at FROM timeline_events
         WHERE received_at BETWEEN TIMESTAMPTZ '2026-01-01 00:00:00+00' AND TIMESTAMPTZ '2026-02-01 00:00:00+00' ORDER BY received_at DESC, id DESC LIMIT 100""",
     "timeline_lines": """SELECT id, '[' || strftime(received_at AT TIME ZONE 'UTC', '%Y-%m-%d') || '] ' || coalesce(key, '') || ': ' || CASE WHEN length(summary) > 80 THEN left(summary, 80) || '…' ELSE coalesce(summary, '') END AS line FROM timeline_events""",
-    "timeline_digest": f"""WITH {_GOALS}, top AS (SELECT * FROM timeline_events ORDER BY received_at DESC, id DESC LIMIT 5)
-        SELECT (SELECT count(*) FROM timeline_events) AS events, (SELECT least(1000, count(*)) FROM goal WHERE status = 'active') AS goals,
-        (SELECT string_agg(coalesce(nullif(summary, ''), nullif(event_type, ''), key), ' | ' ORDER BY received_at DESC, id DESC) FROM top) AS first_items""",
+    "timeline_digest": f"""WITH {_GOALS}, page AS (SELECT *, row_number() OVER (ORDER BY received_at DESC, id DESC) AS k FROM timeline_events QUALIFY k <= 20)
+        SELECT (SELECT count(*) FROM page) AS events, (SELECT count(*) FROM page) AS notes, (SELECT least(1000, count(*)) FROM goal WHERE status = 'active') AS goals,
+        (SELECT coalesce(string_agg(coalesce(nullif(event_type, ''), nullif(summary, ''), key, ''), ' | ' ORDER BY k), '') FROM page WHERE k <= 5) AS first_items""",
     "tool_log": """SELECT command_id, call AS event_type, coalesce(nullif(key, ''), nullif(query, ''), nullif(goal_id, ''), '') AS key, CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE coalesce(text, '') END AS summary FROM agent_commands""",
     "session_save": f"WITH {_SESSIONS} SELECT key, count(*) AS versions FROM saved GROUP BY key",
     "session_latest": f"WITH {_SESSIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, n DESC) AS k FROM s) SELECT project, data, created_at FROM r WHERE k = 1",
