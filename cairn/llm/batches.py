@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.near import spread, tiles
-from cairn.session import Scratch, file_system, shuffle_width, stage, stage_path
+from cairn.session import Scratch, file_system, release, shuffle_width, stage, stage_path
 
 #: Tokens hash to so many slots, by which runs are partitioned; a run of few rows has fewer buckets, of about PER_BUCKET rows.
 SLOTS, PER_BUCKET = 1 << 16, 200_000
@@ -377,6 +377,7 @@ class StatementIndex:
             raise
         finally:
             scratch.drop()
+            release(self.spark)
 
     def _add(self, batch: DataFrame, scratch: Scratch) -> DataFrame:
         state = json.loads(json.dumps(self.state))
