@@ -125,3 +125,23 @@ def test_pairs():
     assert not repeats(a, words("the queue sorts notes while zelanmora grew past 6 rows"), names, 0.65)
     assert not repeats(a, words("the queue zelanmora 5"), names, 0.65)
     assert close("below", "beolw") and not close("below", "above")
+
+
+def test_waiting_batches_are_taken_in_together(spark, monkeypatch):
+    rows = [(i, 0 if i < 40 else 1 + (i - 40) // 6, f"fact {i}") for i in range(106)]
+    calls = []
+    monkeypatch.setattr(StatementIndex, "add", lambda self, batch: calls.append({r["fact_id"] for r in batch.collect()}) or batch.selectExpr("fact_id as first_id", "fact_id"))
+    assert repeated_facts(spark.createDataFrame(rows, "fact_id bigint, batch_id int, content string")).count() == 106
+    assert calls == [set(range(40)), set(range(40, 76)), set(range(76, 106))]
+    # A smaller id in a later batch is no earlier fact: such batches stay apart.
+    assert batches.taken_together([(0, 1, 40, 40), (1, 41, 50, 10), (2, 45, 60, 9), (3, 61, 70, 10)]) == [(0, 0), (1, 1), (2, 3)]
+
+
+def test_many_texts_of_one_key_are_compared_in_tiles_like_pairs(spark, monkeypatch):
+    rows = [(i, f"Zelanmora keeps some quite old plain notes about backups {'abcdefgh'[i]}x 7") for i in range(8)] + [(8, "Zelanmora keeps some quite old plain notes about backups ax 8")]
+    facts = spark.createDataFrame(rows, "fact_id bigint, content string")
+    assert {(r["first_id"], r["fact_id"]) for r in StatementIndex(spark).add(facts).collect()} == {(0, i) for i in range(1, 8)}
+    monkeypatch.setattr(batches, "PAIRED", 3)
+    index = StatementIndex(spark)
+    assert {(r["first_id"], r["fact_id"]) for r in index.add(facts).collect()} == {(0, i) for i in range(1, 8)}
+    assert not [r["word"] for r in index.words().read().collect() if r["word"].isdigit()]
