@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 
 from cairn.llm.bits import bit_set, held
 from cairn.llm.words import MARKS, token_rows
-from cairn.session import Scratch, shuffle_width, stage
+from cairn.session import Scratch, release, shuffle_width, stage
 
 BANDS, ROWS = 40, 7
+#: The bands are drawn, shuffled and searched in so many turns, one after the other, so that only one turn's rows are on disk at a time.
+TURNS = 5
 #: Shingles in fewer than this share of the texts all weigh as if in that share: the dictionary of the others
 #: has at most mean-shingles-per-text / share entries, whatever the number of texts.
 RARE_SHARE = 1e-3
-#: A band key shared by more distinct texts than this is not expanded into pairs but searched by prefixes.
-BUCKET = 200
+#: A band key shared by more distinct texts than this is not compared pair by pair within its task but searched by prefixes.
+BUCKET = 4_000
 #: A token or key of more texts than this is split into groups of about so many, each pair of groups being a tile.
 HOT = 2_000
 _TABLE, _BLOCK = 4096, 1 << 15
@@ -50,25 +52,32 @@ def _draws(k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.maximum(r, 1e-6), lnc, g.random((_TABLE, k)).astype(np.float32)
 
 
-def _values(hashes: np.ndarray, weights: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """ln a and t of each shingle (rows) under each function (columns)."""
-    r_, lnc_, b_ = _draws(k, seed)
+@lru_cache(maxsize=2)
+def _draws_of(k: int, seed: int, part: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.ascontiguousarray(x[:, slice(*part)]) for x in _draws(k, seed))
+
+
+def _values(hashes: np.ndarray, weights: np.ndarray, k: int, seed: int, part: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """ln a and t of each shingle (rows) under each of a part of the k functions (columns)."""
+    r_, lnc_, b_ = _draws_of(k, seed, part)
     m = np.uint64(_TABLE - 1)
     r, lnc, b = r_[(hashes & m).astype(np.int64)], lnc_[((hashes >> np.uint64(20)) & m).astype(np.int64)], b_[((hashes >> np.uint64(40)) & m).astype(np.int64)]
     t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + b)
     return lnc - r * (t - b) - r, t
 
 
-def sample(hashes: np.ndarray, weights: np.ndarray, codes: np.ndarray, offsets: np.ndarray, k: int, seed: int) -> np.ndarray:
+def sample(hashes: np.ndarray, weights: np.ndarray, codes: np.ndarray, offsets: np.ndarray, k: int, seed: int, part: tuple[int, int] | None = None) -> np.ndarray:
     """Draws of texts: text i has the distinct tokens codes[offsets[i]:offsets[i+1]], at least one, into hashes and weights (> 0).
 
-    Gives a matrix of texts x k of 64-bit keys of (token, t).
+    Gives a matrix of texts x k of 64-bit keys of (token, t); part: from which to which of the k functions only.
     """
+    whole, part = k, part or (0, k)
+    k = part[1] - part[0]
     out = np.empty((len(offsets) - 1, k), np.uint64)
     cols = np.arange(k)
     key = lambda h, t: mix(h + t.astype(np.int64).view(np.uint64) * _M)
     if len(hashes) <= 2 * _BLOCK:
-        a, t = _values(hashes, weights, k, seed)
+        a, t = _values(hashes, weights, whole, seed, part)
         for i in range(len(out)):
             own = codes[offsets[i] : offsets[i + 1]]
             best = own[a[own].argmin(axis=0)]
@@ -78,7 +87,7 @@ def sample(hashes: np.ndarray, weights: np.ndarray, codes: np.ndarray, offsets:
         least = np.full(k, np.inf, np.float32)
         for s in range(offsets[i], offsets[i + 1], _BLOCK):
             own = codes[s : min(s + _BLOCK, offsets[i + 1])]
-            a, t = _values(hashes[own], weights[own], k, seed)
+            a, t = _values(hashes[own], weights[own], whole, seed, part)
             best = a.argmin(axis=0)
             now = a[best, cols]
             out[i] = np.where(now < least, key(hashes[own[best]], t[best, cols]), out[i])
@@ -86,10 +95,10 @@ def sample(hashes: np.ndarray, weights: np.ndarray, codes: np.ndarray, offsets:
     return out
 
 
-def band_keys(draws: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key per text and band."""
+def band_keys(draws: np.ndarray, bands: int, rows: int, first: int = 0) -> np.ndarray:
+    """One key per text and band, the bands being numbered from `first`."""
     d = draws.reshape(len(draws), bands, rows)
-    h = np.broadcast_to(np.arange(bands, dtype=np.uint64) * _M, d.shape[:2])
+    h = np.broadcast_to(np.arange(first, first + bands, dtype=np.uint64) * _M, d.shape[:2])
     for i in range(rows):
         h = mix(h * np.uint64(0xD6E8FEB86659FD93) + d[:, :, i])
     return h.view(np.int64)
@@ -109,7 +118,9 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n)], ["s", "n"])
 
 
-def _bands(vocabulary: pa.Array, idf: np.ndarray, rare: float, bands: int, rows: int, seed: int):
+def _bands(vocabulary: pa.Array, idf: np.ndarray, rare: float, bands: int, rows: int, seed: int, turn: tuple[int, int]):
+    """Rows (sig, doc, n, marks) to rows (key, sig, n, marks), one for each band of a turn."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
@@ -120,59 +131,65 @@ def _bands(vocabulary: pa.Array, idf: np.ndarray, rare: float, bands: int, rows:
                 hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object)).astype(np.uint64)
                 at = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=vocabulary), -1)).astype(np.int64)
                 weight = np.where(at >= 0, idf[at], rare) if len(idf) else np.full(len(hashes), rare)
-                draws = sample(hashes, weight, np.asarray(coded.indices).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]), bands * rows, seed)
-                keys = band_keys(draws, bands, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(sigs, bands))], ["key", "sig"])
+                draws = sample(hashes, weight, np.asarray(coded.indices).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]), bands * rows, seed, (turn[0] * rows, turn[1] * rows))
+                own = turn[1] - turn[0]
+                keys, again = band_keys(draws, own, rows, turn[0]), pa.array(np.repeat(first, own))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(sigs, own)), *(batch.column(c).take(again) for c in range(2, batch.num_columns))], ["key", "sig", "n", *MARKS])
 
     return run
 
 
-def _bucket_pairs(limit: int):
-    """Of rows (key, sig) sorted by both: pairs (null, a, b) of each key's distinct sigs, or (key, a, null) rows of keys with more than `limit`."""
+def _fit(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether numbers alone, (n, *marks) of rows, leave it possible that the texts at x and at y are similar. No similar pair is lost."""
+    n = rows[0]
+    both = n[x] + n[y]
+    differ = sum(np.bitwise_count(m[x] ^ m[y]).astype(np.int64) for m in rows[1:])
+    # similarity = common / (both - common), and common is at most (both - differ) / 2.
+    return (np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * least - 1e-9) & ((both - differ) / 2 >= both * (least / (1 + least)) - 1e-9)
+
+
+def _bucket_pairs(limit: int, least: float = 0.0):
+    """Of rows (key, sig) or (key, sig, n, marks) sorted by key and sig: pairs (null, a, b) of each key's distinct sigs, those that n and marks leave possible, or (key, a, null) rows of keys with more than `limit`."""
+
+    def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        new = np.append(True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
+        keys, sigs, *rest = (c[new] for c in rows)
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        full = np.repeat(sizes > limit, sizes)
+        if full.any():
+            yield pa.RecordBatch.from_arrays([pa.array(keys[full]), pa.array(sigs[full]), pa.nulls(int(full.sum()), pa.int64())], ["key", "a", "b"])
+        ends = np.repeat(starts + sizes, sizes)
+        at, step, x, y, held = np.flatnonzero(~full & (np.repeat(sizes, sizes) > 1)), 1, [], [], 0
+        while len(at):
+            # Each text with the one that stands `step` after it under the same key.
+            at = at[at + step < ends[at]]
+            good = at[_fit(rest, at, at + step, least)] if rest and len(at) else at
+            x.append(good), y.append(good + step)
+            held, step = held + len(good), step + 1
+            if x and (held >= 50_000 or not len(at)):
+                a, b = sigs[np.concatenate(x)], sigs[np.concatenate(y)]
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(held, pa.int64()), pa.array(a), pa.array(b)], ["key", "a", "b"])
+                x, y, held = [], [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, over = None, [], False
-        out: list[list] = [[], [], []]
-
-        def close() -> None:
-            if not over:
-                for i in range(len(held)):
-                    for j in range(i + 1, len(held)):
-                        out[0].append(None), out[1].append(held[i]), out[2].append(held[j])
-
-        def emit() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["key", "a", "b"])
-            for c in out:
-                c.clear()
-            return b
-
+        parts: list[list[np.ndarray]] = []
         for batch in batches:
-            k, s = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            if not len(k):
+            if not batch.num_rows:
+                continue
+            now = [np.asarray(c) for c in batch.columns]
+            now[2:3] = [c.astype(np.int64) for c in now[2:3]]
+            parts.append(now)
+            if now[0][-1] == parts[0][0][0]:
                 continue
-            # Rows whose key occurs once are most of them; only the others and the batch's ends go through the loop.
-            same = np.concatenate([[False], k[1:] == k[:-1]])
-            busy = same | np.append(same[1:], False)
-            busy[0] = busy[-1] = True
-            for x, y in zip(k[busy].tolist(), s[busy].tolist()):
-                if x != key:
-                    close()
-                    key, held, over = x, [y], False
-                elif over:
-                    if y != held[-1]:
-                        held[-1] = y
-                        out[0].append(x), out[1].append(y), out[2].append(None)
-                elif y != held[-1]:
-                    held.append(y)
-                    if len(held) > limit:
-                        for z in held:
-                            out[0].append(x), out[1].append(z), out[2].append(None)
-                        over, held = True, [y]
-            if len(out[0]) >= 50_000:
-                yield emit()
-        close()
-        if out[0]:
-            yield emit()
+            # The last key may go on in the next batch.
+            rows = [np.concatenate(c) for c in zip(*parts)]
+            last = int(np.flatnonzero(rows[0][1:] != rows[0][:-1])[-1]) + 1
+            yield from found([c[:last] for c in rows])
+            parts = [[c[last:] for c in rows]]
+        if parts:
+            yield from found([np.concatenate(c) for c in zip(*parts)])
 
     return run
 
@@ -240,21 +257,30 @@ class NearDuplicates:
         return self.base.select("sig", "id")
 
     def candidates(self) -> DataFrame:
-        """Pairs of classes (a < b) that share a band, those of overfull buckets found by prefixes instead; without repeats."""
-        spark = self.base.sparkSession
+        """Pairs of classes (a < b) that share a band and that lengths and marks leave possible, those of overfull buckets found by prefixes instead; without repeats."""
         names, counts, total = vocabulary(self.base, self.share)
         least = max(1.0, total * self.share)  # texts that the rarest shingles count as being in
         idf = np.log(1 + total / np.maximum(np.array(counts, float), least)) if names else np.empty(0)
         rare = math.log(1 + total / least)
-        rows = self.base.select("sig", "doc").mapInArrow(_bands(pa.array(names, pa.string()), idf, rare, self.bands, self.rows, self.seed), "key bigint, sig bigint")
-        sorted_ = rows.repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "sig")
-        found = stage(sorted_.mapInArrow(_bucket_pairs(BUCKET), "key bigint, a bigint, b bigint"), "near")
+        turns = [(k * self.bands // TURNS, (k + 1) * self.bands // TURNS) for k in range(TURNS)]
+        found = [self._turn(_bands(pa.array(names, pa.string()), idf, rare, self.bands, self.rows, self.seed, t)) for t in turns if t[0] < t[1]]
+        found = reduce(DataFrame.unionByName, found)
         pairs = found.where(F.col("b").isNotNull()).select("a", "b")
         over = found.where(F.col("b").isNull())
         if not over.isEmpty():
-            pairs = pairs.unionByName(self._by_prefix(over.select(F.col("a").alias("sig")).distinct(), names, counts))
+            pairs = pairs.unionByName(self.possible(self._by_prefix(over.select(F.col("a").alias("sig")).distinct(), names, counts)))
         return pairs.distinct()
 
+    def _turn(self, bands) -> DataFrame:
+        """The pairs and overfull keys of one turn's bands. Their rows, the most that this operator shuffles, are gone afterwards."""
+        spark = self.base.sparkSession
+        columns = ", ".join(f"{m} bigint" for m in MARKS)
+        rows = self.base.select("sig", "doc", "n", *MARKS).mapInArrow(bands, f"key bigint, sig bigint, n int, {columns}")
+        found = stage(rows.repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "sig").mapInArrow(_bucket_pairs(BUCKET, self.least), "key bigint, a bigint, b bigint"), "near")
+        del rows
+        release(spark)
+        return found
+
     def _by_prefix(self, sigs: DataFrame, names: list[str], counts: list[int]) -> DataFrame:
         """All pairs of `sigs` that may reach the similarity: they share one of their rarest shingles (a prefix that is long
         enough for it, so no pair is lost), and what follows it in both is long enough for the rest of the overlap that they need.
@@ -276,7 +302,7 @@ class NearDuplicates:
 
     def links(self) -> DataFrame:
         """a, b, similarity of classes, verified on their whole texts."""
-        found = stage(self.possible(self.candidates()), "pairs")
+        found = stage(self.candidates(), "pairs")
         bits = bit_set(found.select(F.explode(F.array("a", "b")).alias("sig")))
         # Most texts are in no pair: they are left out before the texts are shuffled.
         docs = self.base.select("sig", "doc").mapInArrow(_wanted(bits), "sig bigint, doc string").dropDuplicates(["sig"])

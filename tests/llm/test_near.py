@@ -119,3 +119,25 @@ def test_buckets_across_batches():
 @pytest.mark.parametrize("text, size, wanted", [("A b a", 1, ["a", "a\x012", "b"]), ("a b c", 2, ["a\x02b", "b\x02c"]), ("a", 5, ["a"]), ("?!", 1, [])])
 def test_tokens(text, size, wanted):
     assert tokens(text, size) == wanted
+
+
+def test_buckets_keep_possible_pairs_only():
+    import pyarrow as pa
+
+    from cairn.llm.words import marks
+
+    docs = [" ".join(sorted(f"w{k}" for k in range(i, i + 40))) for i in (0, 2, 30, 32, 200)]
+    rows = [np.array([9, 9, 9, 9, 9, 10]), np.array([1, 2, 3, 4, 5, 5]), np.full(6, 40, np.int32), *(np.append(m, m[-1]) for m in marks(docs, [40] * 5))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 2]) for c in rows], [str(c) for c in range(7)]) for k in (0, 2, 4)]
+    out = [tuple(r.values()) for b in _bucket_pairs(9, 0.65)(iter(batches)) for r in b.to_pylist()]
+    assert out == [(None, 1, 2), (None, 3, 4)]
+
+
+def test_turns_find_what_one_turn_finds(spark, monkeypatch):
+    import cairn.llm.near as near
+
+    rows = [(i, " ".join([*WORDS[i // 3 : i // 3 + 30], f"x{i}"])) for i in range(60)]
+    found = lambda: {(r["a"], r["b"]) for r in NearDuplicates(frame(spark, rows), 0.65, 1).candidates().collect()}
+    many = found()
+    monkeypatch.setattr(near, "TURNS", 1)
+    assert many and many == found()
