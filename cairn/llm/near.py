@@ -32,6 +32,8 @@ RARE_SHARE = 1e-3
 BUCKET = 4_000
 #: A token or key of more texts than this is split into groups of about so many, each pair of groups being a tile.
 HOT = 2_000
+#: Band rows are shuffled in slots of about so many, and a task puts so many of its own into slots at once: a slot's part of them is one row to Spark.
+SLOT, LOT = 1 << 17, 1 << 18
 _TABLE, _BLOCK = 4096, 1 << 15
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,13 +59,19 @@ def _draws_of(k: int, seed: int, part: tuple[int, int]) -> tuple[np.ndarray, np.
     return tuple(np.ascontiguousarray(x[:, slice(*part)]) for x in _draws(k, seed))
 
 
-def _values(hashes: np.ndarray, weights: np.ndarray, k: int, seed: int, part: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """ln a and t of each shingle (rows) under each of a part of the k functions (columns)."""
+def _values(hashes: np.ndarray, weights: np.ndarray, k: int, seed: int, part: tuple[int, int]) -> np.ndarray:
+    """A number for each shingle (rows) under each of a part of the k functions (columns): its upper half goes up with ln a, its lower half is a hash of shingle and t.
+
+    The shingle that a text draws is thus the one of the least number, and the number itself tells what was drawn.
+    """
     r_, lnc_, b_ = _draws_of(k, seed, part)
     m = np.uint64(_TABLE - 1)
     r, lnc, b = r_[(hashes & m).astype(np.int64)], lnc_[((hashes >> np.uint64(20)) & m).astype(np.int64)], b_[((hashes >> np.uint64(40)) & m).astype(np.int64)]
     t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + b)
-    return lnc - r * (t - b) - r, t
+    a = (lnc - r * (t - b) - r).view(np.int32)
+    key = mix(hashes[:, None] + t.astype(np.int64).view(np.uint64) * _M) >> np.uint64(32)
+    # Numbers below zero have all bits but the sign turned over, so that integers are in the order of the floats.
+    return ((a ^ ((a >> 31) & 0x7FFFFFFF)).astype(np.int64) << 32) | key.view(np.int64)
 
 
 def sample(hashes: np.ndarray, weights: np.ndarray, codes: np.ndarray, offsets: np.ndarray, k: int, seed: int, part: tuple[int, int] | None = None) -> np.ndarray:
@@ -71,28 +79,18 @@ def sample(hashes: np.ndarray, weights: np.ndarray, codes: np.ndarray, offsets:
 
     Gives a matrix of texts x k of 64-bit keys of (token, t); part: from which to which of the k functions only.
     """
-    whole, part = k, part or (0, k)
-    k = part[1] - part[0]
-    out = np.empty((len(offsets) - 1, k), np.uint64)
-    cols = np.arange(k)
-    key = lambda h, t: mix(h + t.astype(np.int64).view(np.uint64) * _M)
+    part = part or (0, k)
+    out, at = np.full((len(offsets) - 1, part[1] - part[0]), np.iinfo(np.int64).max), offsets.tolist()
     if len(hashes) <= 2 * _BLOCK:
-        a, t = _values(hashes, weights, whole, seed, part)
-        for i in range(len(out)):
-            own = codes[offsets[i] : offsets[i + 1]]
-            best = own[a[own].argmin(axis=0)]
-            out[i] = key(hashes[best], t[best, cols])
-        return out
-    for i in range(len(out)):
-        least = np.full(k, np.inf, np.float32)
-        for s in range(offsets[i], offsets[i + 1], _BLOCK):
-            own = codes[s : min(s + _BLOCK, offsets[i + 1])]
-            a, t = _values(hashes[own], weights[own], whole, seed, part)
-            best = a.argmin(axis=0)
-            now = a[best, cols]
-            out[i] = np.where(now < least, key(hashes[own[best]], t[best, cols]), out[i])
-            least = np.minimum(now, least)
-    return out
+        values = _values(hashes, weights, k, seed, part)
+        for i, row in enumerate(out):
+            np.minimum.reduce(values.take(codes[at[i] : at[i + 1]], axis=0), axis=0, out=row)
+        return out.view(np.uint64)
+    for i, row in enumerate(out):
+        for s in range(at[i], at[i + 1], _BLOCK):
+            own = codes[s : min(s + _BLOCK, at[i + 1])]
+            np.minimum(row, _values(hashes[own], weights[own], k, seed, part).min(axis=0), out=row)
+    return out.view(np.uint64)
 
 
 def band_keys(draws: np.ndarray, bands: int, rows: int, first: int = 0) -> np.ndarray:
@@ -118,10 +116,45 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n)], ["s", "n"])
 
 
-def _bands(vocabulary: pa.Array, idf: np.ndarray, rare: float, bands: int, rows: int, seed: int, turn: tuple[int, int]):
-    """Rows (sig, doc, n, marks) to rows (key, sig, n, marks), one for each band of a turn."""
+def _in_slots(parts: list[np.ndarray], slots: int) -> pa.RecordBatch:
+    """Columns of rows, the first of them the key, as rows (slot, cells): one for each slot, with the cells of all its rows. All rows of a key are in one slot."""
+    rows = np.concatenate(parts, axis=1)
+    slot = (rows[0].view(np.uint64) % np.uint64(slots)).astype(np.int32)
+    order = np.argsort(slot)
+    rows, slot = rows[:, order], slot[order]
+    starts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+    cells = [rows[:, s:e].tobytes() for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(slot)])]
+    return pa.RecordBatch.from_arrays([pa.array(slot[starts]), pa.array(cells, pa.binary())], ["slot", "cells"])
+
+
+def _out_of_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, cells) sorted by slot to the rows in them (key, sig, n, marks) sorted by key and sig, without those whose key no other row of the slot has."""
+
+    def opened(cells: list[bytes]) -> pa.RecordBatch:
+        rows = np.concatenate([np.frombuffer(c, np.int64).reshape(3 + len(MARKS), -1) for c in cells], axis=1)
+        order = np.argsort(rows[0])
+        same = np.diff(rows[0][order]) == 0
+        rows = rows[:, order[np.append(same, False) | np.append(False, same)]]
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["key", "sig", "n", *MARKS])
+
+    last, waiting = None, []
+    for batch in batches:
+        for slot, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if slot != last and waiting:
+                yield opened(waiting)
+                waiting = []
+            last = slot
+            waiting.append(cells)
+    if waiting:
+        yield opened(waiting)
+
+
+def _bands(vocabulary: pa.Array, idf: np.ndarray, rare: float, bands: int, rows: int, seed: int, turn: tuple[int, int], slots: int):
+    """Rows (sig, doc, n, marks) to rows (key, sig, n, marks), one for each band of a turn, which come together in their slots (see _in_slots)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
@@ -133,8 +166,14 @@ def _bands(vocabulary: pa.Array, idf: np.ndarray, rare: float, bands: int, rows:
                 weight = np.where(at >= 0, idf[at], rare) if len(idf) else np.full(len(hashes), rare)
                 draws = sample(hashes, weight, np.asarray(coded.indices).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]), bands * rows, seed, (turn[0] * rows, turn[1] * rows))
                 own = turn[1] - turn[0]
-                keys, again = band_keys(draws, own, rows, turn[0]), pa.array(np.repeat(first, own))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(sigs, own)), *(batch.column(c).take(again) for c in range(2, batch.num_columns))], ["key", "sig", "n", *MARKS])
+                rest = [np.asarray(batch.column(c))[first].astype(np.int64) for c in range(2, batch.num_columns)]
+                parts.append(np.stack([band_keys(draws, own, rows, turn[0]).ravel(), *(np.repeat(c, own) for c in (sigs, *rest))]))
+                held += parts[-1].shape[1]
+                if held >= LOT:
+                    yield _in_slots(parts, slots)
+                    parts, held = [], 0
+        if held:
+            yield _in_slots(parts, slots)
 
     return run
 
@@ -263,7 +302,9 @@ class NearDuplicates:
         idf = np.log(1 + total / np.maximum(np.array(counts, float), least)) if names else np.empty(0)
         rare = math.log(1 + total / least)
         turns = [(k * self.bands // TURNS, (k + 1) * self.bands // TURNS) for k in range(TURNS)]
-        found = [self._turn(_bands(pa.array(names, pa.string()), idf, rare, self.bands, self.rows, self.seed, t)) for t in turns if t[0] < t[1]]
+        width = shuffle_width(self.base.sparkSession)
+        slots = lambda t: width * max(1, math.ceil(total * (t[1] - t[0]) / (width * SLOT)))
+        found = [self._turn(_bands(pa.array(names, pa.string()), idf, rare, self.bands, self.rows, self.seed, t, slots(t))) for t in turns if t[0] < t[1]]
         found = reduce(DataFrame.unionByName, found)
         pairs = found.where(F.col("b").isNotNull()).select("a", "b")
         over = found.where(F.col("b").isNull())
@@ -274,9 +315,10 @@ class NearDuplicates:
     def _turn(self, bands) -> DataFrame:
         """The pairs and overfull keys of one turn's bands. Their rows, the most that this operator shuffles, are gone afterwards."""
         spark = self.base.sparkSession
-        columns = ", ".join(f"{m} bigint" for m in MARKS)
-        rows = self.base.select("sig", "doc", "n", *MARKS).mapInArrow(bands, f"key bigint, sig bigint, n int, {columns}")
-        found = stage(rows.repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "sig").mapInArrow(_bucket_pairs(BUCKET, self.least), "key bigint, a bigint, b bigint"), "near")
+        width, bucket_pairs = shuffle_width(spark), _bucket_pairs(BUCKET, self.least)
+        rows = self.base.select("sig", "doc", "n", *MARKS).mapInArrow(bands, "slot int, cells binary")
+        rows = rows.repartitionById(width, F.col("slot") % width).sortWithinPartitions("slot")
+        found = stage(rows.mapInArrow(lambda batches: bucket_pairs(_out_of_slots(batches)), "key bigint, a bigint, b bigint"), "near")
         del rows
         release(spark)
         return found

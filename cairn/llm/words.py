@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -35,14 +36,14 @@ def tokens(text: str, size: int = 1) -> list[str]:
     found = _WORD.findall(text.lower())
     if size > 1 and found:
         found = ["\2".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))]
-    if len(set(found)) == len(found):
-        return sorted(found)
-    seen: dict[str, int] = {}
-    out = []
-    for w in found:
-        n = seen[w] = seen.get(w, 0) + 1
-        out.append(w if n == 1 else f"{w}\1{n}")
-    return sorted(out)
+    seen = Counter(found)
+    out = list(seen)
+    if len(out) < len(found):
+        for w, n in seen.items():
+            if n > 1:
+                out += [f"{w}\1{k}" for k in range(2, n + 1)]
+    out.sort()
+    return out
 
 
 #: Columns of 64 marks each. A token turns one of the marks over, so the marks in which two texts differ are at most as many as the tokens in which they do.

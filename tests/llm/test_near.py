@@ -141,3 +141,51 @@ def test_turns_find_what_one_turn_finds(spark, monkeypatch):
     many = found()
     monkeypatch.setattr(near, "TURNS", 1)
     assert many and many == found()
+
+
+def test_a_turn_works_by_batch_and_by_slot(monkeypatch):
+    import pyarrow as pa
+
+    import cairn.llm.near as near
+
+    calls, mix = [], near.mix
+    monkeypatch.setattr(near, "mix", lambda x: calls.append(1) or mix(x))
+    docs = [" ".join(sorted(f"w{k}" for k in range(i % 50, i % 50 + 20))) for i in range(600)]
+    columns = [pa.array(range(600)), pa.array(docs), pa.array([20] * 600, pa.int32()), *(pa.array(range(m, 600 + m)) for m in range(4))]
+    batch = pa.RecordBatch.from_arrays(columns, ["sig", "doc", "n", *near.MARKS])
+    out = [r for b in near._bands(pa.array([], pa.string()), np.empty(0), 1.0, 40, 7, 11, (8, 16), 6)(iter([batch])) for r in b.to_pylist()]
+    # Neither a hash for each text nor a row for each text and band.
+    assert len(calls) < 20 and [r["slot"] for r in out] == list(range(6))
+    rows = np.concatenate([np.frombuffer(r["cells"], np.int64).reshape(7, -1) for r in out], axis=1)
+    assert rows.shape[1] == 600 * 8 and sorted(set(rows[1])) == list(range(600))
+    assert (rows[2] == 20).all() and all((rows[3 + m] == rows[1] + m).all() for m in range(4))
+    # Texts of the same tokens have the same eight keys, others hardly any in common.
+    assert len({(k, s % 50) for k, s in zip(rows[0], rows[1])}) == 50 * 8
+
+
+def test_slots_lose_no_pair():
+    import pyarrow as pa
+
+    from cairn.llm.near import _in_slots, _out_of_slots
+
+    g = np.random.default_rng(5)
+    lots = [np.stack([g.integers(-30, 30, 40) * 0x9E3779B97F4A7C1, g.integers(0, 25, 40), *np.zeros((5, 40), np.int64)]) for _ in range(4)]
+    met = {}
+    for key, sig in np.concatenate(lots, axis=1)[:2].T.tolist():
+        met.setdefault(key, set()).add(sig)
+    wanted = Counter((None, *p) for sigs in met.values() for p in combinations(sorted(sigs), 2))
+    rows = pa.concat_batches([_in_slots([x, y], 5) for x, y in (lots[:2], lots[2:])])
+    rows = rows.take(pa.array(np.argsort(np.asarray(rows.column(0)), kind="stable")))
+    for size in (1, 3, 100):
+        batches = (rows.slice(k, size) for k in range(0, rows.num_rows, size))
+        assert Counter(tuple(r.values()) for b in _bucket_pairs(100)(_out_of_slots(batches)) for r in b.to_pylist()) == wanted
+    assert not any(b.num_rows for b in _out_of_slots(iter([_in_slots([np.array([[1, 2]] + [[0, 0]] * 6)], 1)])))
+
+
+def test_a_draw_tells_shingle_and_step():
+    """Numbers of draws are alike only where the same shingle is drawn at the same step, whatever the other texts of the batch are."""
+    g = np.random.default_rng(2)
+    h, w = g.integers(1, 2**63, 300).astype(np.uint64), g.random(300) * 5 + 0.01
+    alone = [sample(h[i : i + 30], w[i : i + 30], np.arange(30), np.array([0, 30]), 280, 11, (56, 112))[0] for i in range(0, 270, 30)]
+    together = sample(h, w, np.arange(270), np.arange(0, 271, 30), 280, 11, (56, 112))
+    assert (np.array(alone) == together).all() and len(np.unique(together)) == together.size
